@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Word scores are log-odds between toxic and clean labelled documents under an
-informative Dirichlet prior (the words' shares in both together); words that
-aren't clearly toxic all get one small negative score. A linear-time scan finds
+informative Dirichlet prior (the words' shares in both together); words whose
+likelihood-ratio root isn't above what chance gives the largest of so many words
+all get one small negative score. A linear-time scan finds
 every maximal scoring segment of a document. How high the best one is for a
 document of that length follows an extreme-value law, P(S >= x) = 1 -
 exp(-K n exp(-lambda x)): lambda solves sum p exp(lambda s) = 1 over clean words
@@ -39,9 +40,9 @@ from fractile.llm.common import drawn, scratch
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-PRIOR = 500.0
-LEAST_Z = 4.0
-LEAST_DOCS = 3
+#: Strength of the prior in documents, and what it gives each word at least.
+PRIOR, LEAST_PRIOR = 5.0, 0.5
+LEAST_DOCS = 4
 NEUTRAL = -0.08
 SIGNIFICANT = 0.01
 _PUNCTUATION = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "'"} | {c: " " for c in map(ord, "«»„“”‘’…–—¡¿")}
@@ -101,11 +102,15 @@ def fit_words(counts: pd.DataFrame, toxic_docs: int, clean_docs: int) -> WordMod
     if not toxic_docs or not clean_docs or counts.empty:
         return model
     t, c = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    prior = PRIOR * (t + c) / (toxic_docs + clean_docs)
-    odds = lambda y, n: np.log((y + prior + 0.01) / np.maximum(n + PRIOR - y - prior, 0.5))
+    prior = LEAST_PRIOR + PRIOR * (t + c) / (toxic_docs + clean_docs)
+    odds = lambda y, n: np.log((y + prior) / np.maximum(n + PRIOR + 1 - y - prior, 0.5))
     delta = odds(t, toxic_docs) - odds(c, clean_docs)
-    z = delta / np.sqrt(1 / (t + prior + 0.01) + 1 / (c + prior + 0.01))
-    strong = (z >= LEAST_Z) & (t >= LEAST_DOCS) & (delta >= 1.0)
+    share = toxic_docs / (toxic_docs + clean_docs)
+    total = np.maximum(t + c, 1)
+    xlogx = lambda y, p: np.where(y > 0, y * np.log(np.maximum(y, 1e-9) / (total * p)), 0.0)
+    root = np.sqrt(2 * np.maximum(0.0, xlogx(t, share) + xlogx(c, 1 - share)))
+    # The largest of that many chance values stays below, as for normal ones.
+    strong = (root >= 0.5 + math.sqrt(2 * math.log(max(2, len(counts))))) & (delta >= 1.0) & (t >= LEAST_DOCS)
     model.scores = dict(zip(counts["word"][strong], np.minimum(delta[strong], 8.0).tolist()))
     return model
 
