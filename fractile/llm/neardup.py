@@ -11,11 +11,15 @@ MARGIN of the threshold or above are confirmed on the full sets.
 A key shared by many documents is not expanded into all pairs. First each of its
 documents is compared with the smallest one; what that links is one component.
 Then only pairs of different components under a key are left, and all of those
-are judged, in blocks: of a key's largest component each block meets the blocks
-of the others. So no link between components is lost, and documents that are
-already known to be together aren't compared again. A pair at the threshold
-shares no key with a probability of (1 - 0.8^ROWS)^BANDS, 3 in a million; the
-estimate loses one below 1 in ten million.
+are estimated, in blocks: of a key's largest component each block meets the
+blocks of the others. Pairs that may be linked are not listed; a block only says
+how its documents hang together by such pairs (a spanning forest), and documents
+that hang together form a region. Regions are then compared on full sets, again
+largest component against the others in blocks, and only links are given out. So
+no link between components is lost, documents that are known to be together
+aren't compared again, and no step gives out more rows than it gets. A pair at
+the threshold shares no key with a probability of (1 - 0.8^ROWS)^BANDS, 3 in a
+million; the estimate loses one below 1 in ten million.
 
 Shingles are compared by 64-bit hashes of their words.
 
@@ -43,9 +47,10 @@ from fractile.llm.components import components
 ROWS, BANDS, BITS = 5, 32, 4
 K = ROWS * BANDS
 MARGIN = 0.18
-#: Documents under one block of comparisons.
-BLOCK = 512
-CHUNK = 128
+#: Documents of a side in one block of estimates, and in one of confirmations.
+BLOCK, FULL_BLOCK = 512, 256
+#: Pairs that one copy of a shared document's text serves, and about how many rows small groups are put together to.
+CHUNK, TOGETHER = 128, 2000
 BATCH_CHARS = 2_000_000
 
 _MULTIPLY, _ADD = (np.random.default_rng(20240229).integers(0, 2**63, (2, K, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
@@ -169,50 +174,152 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(task, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>")
 
 
+def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted (doc, ...) with the documents' texts; documents that aren't wanted stay out of the shuffle where the wanted ones are few."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc IS NOT NULL")
+    ids = wanted.select("doc").distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
+    return wanted.join(texts, "doc")
+
+
+def _batches(rows: int) -> int:
+    return max(1, -(-rows // TOGETHER))
+
+
+def _groups(frame: pd.DataFrame, *names: str) -> Iterator[pd.DataFrame]:
+    """The groups of a frame that holds many small ones."""
+    frame = frame.sort_values(list(names), kind="stable", ignore_index=True)
+    new = np.zeros(len(frame), bool)
+    for n in names:
+        v = frame[n].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    cuts = [0, *np.flatnonzero(new).tolist(), len(frame)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield frame.iloc[a:b]
+
+
+def _links(found: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
     """pairs (a, b, n: about how many pairs a has) whose full sets are linked. A document with many pairs meets them in chunks, its text copied once a chunk."""
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK).cast("long")))
     wanted = pairs.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("head"))
     wanted = wanted.union(pairs.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("head")).distinct())
     wanted = scratch(wanted, "near-wanted")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text")).where("doc IS NOT NULL")
-    ids = wanted.select("doc").distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
-    rows = wanted.join(texts, "doc").select("a", "chunk", "doc", "head", "text")
-
-    def task(group: pd.DataFrame) -> pd.DataFrame:
-        sets = list(shingle_sets(["" if t is None else t for t in group["text"].tolist()], similarity.shingle))
-        is_head = group["head"].to_numpy(bool)
-        heads = [s for s, h in zip(sets, is_head) if h]
-        near = [d for d, s, h in zip(group["doc"].tolist(), sets, is_head) if not h and any(similarity.linked(x, s) for x in heads)]
-        return pd.DataFrame({"a": np.full(len(near), group["a"].iloc[0], np.int64), "b": np.array(near, np.int64)})
-
-    return rows.groupBy("a", "chunk").applyInPandas(task, "a long, b long")
-
-
-def _blocks(left: DataFrame, least: float) -> DataFrame:
-    """left: bucket, doc, comp, sig, big (whether comp is the bucket's largest), n_big, n_rest. Pairs (a, b) of different components under a bucket with at least that estimate."""
-    deal = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("long"))
-    upto = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("long") - 1
-    zero = F.lit(0).cast("long")
-    keep = ["bucket", "doc", "comp", "sig"]
-    big = left.where("big").select(*keep, F.lit("x").alias("kind"), deal("n_big").alias("i"), F.explode(F.sequence(zero, upto("n_rest"))).alias("j"), F.lit(0).alias("side"))
-    rest = left.where("NOT big").withColumn("own", deal("n_rest"))
-    across = rest.select(*keep, F.lit("x").alias("kind"), F.explode(F.sequence(zero, upto("n_big"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    among = rest.select(*keep, "own", F.explode(F.sequence(zero, upto("n_rest"))).alias("other"))
-    among = among.select(*keep, F.lit("r").alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-
-    def task(group: pd.DataFrame) -> pd.DataFrame:
-        doc, comp, side = group["doc"].to_numpy(), group["comp"].to_numpy(), group["side"].to_numpy()
-        sig = np.stack(group["sig"].to_list())
-        one = np.flatnonzero(side == 0)
-        two = one if group["kind"].iloc[0] == "r" and group["i"].iloc[0] == group["j"].iloc[0] else np.flatnonzero(side == 1)
-        a, b = np.nonzero((estimates(sig[one], sig[two]) >= least) & (comp[one][:, None] != comp[two][None, :]))
-        x, y = doc[one][a], doc[two][b]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-    return big.union(across).union(among).groupBy("bucket", "kind", "i", "j").applyInPandas(task, "a long, b long").distinct()
+    rows = _with_texts(wanted, docs).withColumn("batch", F.pmod(F.xxhash64("a", "chunk"), F.lit(_batches(8 * wanted.count()))))
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        frame["set"] = pd.Series(list(shingle_sets(frame["text"].tolist(), similarity.shingle)), index=frame.index, dtype=object)
+        for group in _groups(frame.drop(columns="text"), "a", "chunk"):
+            is_head, sets = group["head"].to_numpy(bool), group["set"].tolist()
+            heads = [s for s, h in zip(sets, is_head) if h]
+            a = int(group["a"].iloc[0])
+            found += [(a, d) for d, s, h in zip(group["doc"].tolist(), sets, is_head) if not h and any(similarity.linked(x, s) for x in heads)]
+        return _links(found)
+
+    return rows.groupBy("batch").applyInPandas(task, "a long, b long")
+
+
+def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (key, doc) dealt to the blocks in which each pair of different components under a key meets: key, comp, kind, i, j and side are added. The largest component's blocks meet those of the others, and these each other; keys with one component are left out."""
+    placed = rows.join(comp_of, rows["doc"] == comp_of["node"], "left").drop("node").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    placed = scratch(placed, "near-placed")
+    sizes = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy(key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    sizes = scratch(sizes.select(key, F.col("top.comp").alias("largest"), F.col("top.k").alias("n_big"), (F.col("total") - F.col("top.k")).alias("n_rest")), "near-mixed")
+    total = sizes.agg(F.sum(F.col("n_big") + F.col("n_rest"))).first()[0] or 0
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("long")
+    deal = lambda n: F.pmod(F.xxhash64("doc"), blocks(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    left = placed.join(sizes, key)
+    keep = [key, "doc", "comp", F.pmod(F.xxhash64(key), F.lit(_batches(total))).alias("batch")]
+    big = left.where("comp = largest").select(*keep, F.lit("x").alias("kind"), deal("n_big").alias("i"), each("n_rest").alias("j"), F.lit(0).alias("side"))
+    rest = left.where("comp <> largest").withColumn("own", deal("n_rest"))
+    across = rest.select(*keep, F.lit("x").alias("kind"), each("n_big").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    among = rest.select(*keep, "own", each("n_rest").alias("other"))
+    among = among.select(key, "doc", "comp", "batch", F.lit("r").alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    return big.union(across).union(among)
+
+
+class _Sets:
+    """Union-find over whatever hashes."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def top(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _likely(group: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block that differ in component and have at least that estimate, best first."""
+    side, comp = group["side"].to_numpy(), group["comp"].to_numpy()
+    sig = np.stack(group["sig"].to_list())
+    one = np.flatnonzero(side == 0)
+    alone = group["kind"].iloc[0] == "r" and group["i"].iloc[0] == group["j"].iloc[0]
+    two = one if alone else np.flatnonzero(side == 1)
+    if not len(one) or not len(two):
+        return one[:0], one[:0]
+    e = np.where(comp[one][:, None] != comp[two][None, :], estimates(sig[one], sig[two]), -1.0)
+    if alone:
+        e = np.triu(e, 1)
+    a, b = np.nonzero(e >= least)
+    best = np.argsort(-e[a, b], kind="stable")
+    return one[a[best]], two[b[best]]
+
+
+def _regions(rows: DataFrame, reps: DataFrame, comp_of: DataFrame, least: float) -> DataFrame:
+    """(doc, region) of the documents that may be linked to one of another component."""
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for group in _groups(frame, "bucket"):
+            a, b = _likely(group, least)
+            if len(a):
+                doc, sets = group["doc"].to_numpy(), _Sets()
+                found += [(x, y) for x, y in zip(doc[a].tolist(), doc[b].tolist()) if sets.join(x, y)]
+        return _links(found)
+
+    blocks = _blocks(rows, comp_of, "bucket", BLOCK).join(reps.select("doc", "sig"), "doc")
+    forest = blocks.groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
+    return components(forest).select(F.col("node").alias("doc"), F.col("component").alias("region"))
+
+
+def _across(regions: DataFrame, reps: DataFrame, comp_of: DataFrame, docs: DataFrame, similarity: Similarity, least: float) -> DataFrame:
+    """Links (a, b) between different components of a region, at least one for each two that are linked."""
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for group in _groups(frame, "region"):
+            a, b = _likely(group, least)
+            if not len(a):
+                continue
+            needed = sorted({*a.tolist(), *b.tolist()})
+            texts = group["text"].tolist()
+            own = dict(zip(needed, shingle_sets([texts[k] for k in needed], similarity.shingle)))
+            doc, comp, sets = group["doc"].tolist(), group["comp"].tolist(), _Sets()
+            for x, y in zip(a.tolist(), b.tolist()):
+                if sets.top(comp[x]) != sets.top(comp[y]) and similarity.linked(own[x], own[y]):
+                    sets.join(comp[x], comp[y])
+                    found.append((doc[x], doc[y]))
+        return _links(found)
+
+    blocks = scratch(_blocks(regions, comp_of, "region", FULL_BLOCK).join(reps.select("doc", "sig"), "doc"), "near-blocks")
+    return _with_texts(blocks, docs).groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
@@ -227,25 +334,20 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> D
     shared = scratch(keyed.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
     member = scratch(keyed.join(shared, "bucket"), "near-members")
 
-    star = member.where("doc <> pivot").groupBy("pivot", "doc").agg(F.max("n").alias("n"))
-    star = star.join(reps.select("doc", F.col("sig").alias("s")), "doc").join(reps.select(F.col("doc").alias("pivot"), F.col("sig").alias("t")), "pivot")
-    star = star.where(corrected(_estimate_column("s", "t")) >= least).select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "n")
-    links = scratch(confirmed(scratch(star.distinct(), "near-star"), docs, similarity), "near-links")
+    # A pivot with many documents is copied once for each BLOCK of them.
+    copies = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("long")
+    star = member.where("doc <> pivot").groupBy("pivot", "doc").agg(F.max("n").alias("n")).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("n")))
+    star = star.join(reps.select("doc", F.col("sig").alias("s")), "doc")
+    pivots = shared.groupBy("pivot").agg(F.max("n").alias("m")).join(reps.select(F.col("doc").alias("pivot"), F.col("sig").alias("t")), "pivot")
+    pivots = pivots.select("pivot", "t", F.explode(F.sequence(F.lit(0).cast("long"), copies("m") - 1)).alias("copy"))
+    star = star.join(pivots, ["pivot", "copy"]).where(corrected(_estimate_column("s", "t")) >= least)
+    star = scratch(star.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "n"), "near-star")
+    links = scratch(confirmed(star, docs, similarity), "near-links")
 
     comp = components(links)
-    placed = member.join(comp, member["doc"] == comp["node"], "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = scratch(placed.distinct(), "near-placed")
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = scratch(mixed.select("bucket", F.col("top.comp").alias("largest"), F.col("top.k").alias("n_big"), (F.col("total") - F.col("top.k")).alias("n_rest")), "near-mixed")
-    left = placed.join(mixed, "bucket").join(reps.select("doc", "sig"), "doc").withColumn("big", F.col("comp") == F.col("largest"))
-    more = scratch(_blocks(left, least), "near-across")
-    if not more.isEmpty():
-        ends = more.select("a", "b").union(more.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        more = more.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
-        head = F.col("n") >= F.col("m")
-        more = more.select(F.when(head, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(head, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("n", "m").alias("n"))
-        added = scratch(confirmed(more, docs, similarity), "near-links-across")
+    regions = _regions(member.select("bucket", "doc"), reps, comp, least)
+    if not regions.isEmpty():
+        added = scratch(_across(regions, reps, comp, docs, similarity, least), "near-links-across")
         if not added.isEmpty():
             comp = components(links.union(added))
     groups = classes.join(comp, classes["rep"] == comp["node"], "left").select("digest", "members", F.coalesce("component", "rep").alias("component_id"))
