@@ -71,7 +71,8 @@ class Packer:
     def add(self, example: int, length: int, loss_start: int = 0) -> None:
         start = 0
         while length - start > (most := self._longest(start, loss_start, self.limits.tokens, self.limits.loss)):
-            self.done.append([Piece(example, start, most)])
+            alone = [Piece(example, start, most)]
+            self.done.extend([alone] if most == self.limits.tokens else _powers(alone, most))
             start += most
         if length == start:
             return
