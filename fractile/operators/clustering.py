@@ -46,7 +46,8 @@ def transformed(rows: DataFrame, transform: str | None = None, quantile_range: t
             return rows.select("hist_id", *[((F.col(c) - F.lit(s[f"{c}_a"])) / F.lit((s[f"{c}_b"] - s[f"{c}_a"]) or 1.0)).alias(c) for c in FEATURES])
         grid = [k / 1000 for k in range(1001)]
         marks = rows.approxQuantile(list(FEATURES), grid, 1e-4)
-        return rows.select("hist_id", *[(F.size(F.filter(F.lit(m), lambda e, c=c: e <= F.col(c))) / len(grid)).alias(c) for c, m in zip(FEATURES, marks)])
+        below = lambda c, m: F.size(F.filter(F.lit(m), lambda e: e <= F.col(c))) / len(grid)
+        return rows.select("hist_id", *[below(c, m).alias(c) for c, m in zip(FEATURES, marks)])
     if transform == "power":
         out = rows
         for c in FEATURES:

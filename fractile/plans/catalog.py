@@ -187,7 +187,7 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     hists = checkpointed(collection(spark, sf_dir), "hists")
-    asked = q.to_frame(spark, q.generate(10, q.OPERATORS, 12, (0.0, 60.0), 7))
+    asked = q.to_frame(spark, q.generate(10, q.OPERATORS, 12, (-20.0, 60.0), 7))
     return q.strata(metrics.selectivity(asked, evaluate.scan(hists, asked), hists.count()), 3, 5)
 
 
