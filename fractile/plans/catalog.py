@@ -16,11 +16,13 @@ from fractile.operators import clustering, filters, metrics, queries as q
 from fractile.operators.index import binsort, create_index, rebinned, verify
 from fractile.operators.profiles import histograms, kept_values, moments
 from fractile.plans import evaluate
-from fractile.plans.store import checkpointed, index_size
+from fractile.plans.store import checkpointed, index_size, spread
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 N_BINS = 200
 OFF_EDGE = [q.PercentileQuery(p, op, r) for p in (0.1, 0.35, 0.8) for op in q.OPERATORS for r in (0.0333, 24.4567, 31234.5678)]
+GENERATED = q.generate(4, ("gt", "lt"), 5, (-10.0, 10.0), 42)
+STRATA_QUERIES = q.generate(10, q.OPERATORS, 12, (-20.0, 60.0), 7)
 ON_EDGE = [q.PercentileQuery(p, op, r) for p in (0.2, 0.5, 0.9) for op in q.OPERATORS for r in (1.0, 10.0, 25.0, 50.0)]
 
 
@@ -30,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def values(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
     """(hist_id, value): hist_id is 4 key + measure."""
-    items = _table(spark, sf_dir, "lineitem")
+    items = spread(_table(spark, sf_dir, "lineitem").select(key, *MEASURES))
     pairs = F.explode(F.array(*[F.struct((F.col(key) * 4 + k).alias("hist_id"), F.col(m).alias("value")) for k, m in enumerate(MEASURES)]))
     return items.select(pairs.alias("p")).select("p.hist_id", "p.value")
 
@@ -182,12 +184,12 @@ def _binsort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.to_frame(spark, q.generate(4, ("gt", "lt"), 5, (-10.0, 10.0), 42))
+    return q.to_frame(spark, GENERATED)
 
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     hists = checkpointed(collection(spark, sf_dir), "hists")
-    asked = q.to_frame(spark, q.generate(10, q.OPERATORS, 12, (-20.0, 60.0), 7))
+    asked = q.to_frame(spark, STRATA_QUERIES)
     return q.strata(metrics.selectivity(asked, evaluate.scan(hists, asked), hists.count()), 3, 5)
 
 
@@ -290,6 +292,18 @@ v AS (SELECT query_id, hist_id, op, ref, new, p, CASE WHEN ref < new[1] OR ref >
 found AS (SELECT query_id, hist_id FROM v WHERE {keep} AND CASE WHEN ref < new[1] THEN NOT ({low}) WHEN ref > new[-1] THEN {low} WHEN {low} THEN p4 >= {_four("p")} ELSE p4 <= 10000 - {_four("p")} END)"""
 
 
+def _e2() -> str:
+    """Over the cluster's edges with shares of 1 as counts."""
+    at = f"list_transform(new, lambda x: {_share('x')})"
+    return f"""{_hists(_lineitem("l_suppkey"))}, {_CLUSTERS},
+g AS (SELECT hist_id, new AS edges, {at} AS s FROM a),
+d AS (SELECT hist_id, edges, list_transform(range(1, len(s)), lambda k: s[k + 1] - s[k]) AS counts FROM g),
+r AS (SELECT *, list_transform(range(len(counts) + 1), lambda k: coalesce(list_sum(list_slice(counts, 1, k)), 0.0)) AS cum, 1.0::DOUBLE AS total FROM d),
+q(query_id, p, op, ref) AS (VALUES {_rows(OFF_EDGE)}),
+m AS (SELECT query_id, hist_id, p, op, ref, edges, total, {_mass("over", True)} AS m FROM (SELECT *, len(list_filter(edges, lambda e: e < ref)) AS k FROM r, q)),
+found AS (SELECT query_id, hist_id FROM m WHERE CASE WHEN ref < edges[1] THEN op NOT IN ('lt', 'le') WHEN ref > edges[-1] THEN op IN ('lt', 'le') ELSE {_four("m / total")} >= {_four("p")} END)"""
+
+
 def _erfc() -> str:
     from fractile.functions.histogram import ERFC
 
@@ -383,6 +397,15 @@ SELECT query_id::BIGINT AS query_id, CASE WHEN p = 0 THEN 1.0::DOUBLE WHEN t = 0
         "e1_users": answer(_e1(USER_QUERIES, "over", True, "SELECT user_id AS hist_id, value AS v FROM events")),
         "e4_rebinning_recall": found(_e4("rebinning", "recall")),
         "e4_rebinning_precision": found(_e4("rebinning", "precision")),
+        "e2_rebinned": found(_e2()),
+        "index_verify_size": f"""WITH i AS ({index([*rebin, *conv])}), l AS (SELECT cluster_id, variant, max(bin_no) AS last FROM i GROUP BY ALL), n AS (SELECT count(*) AS n_rows, count(*) * 6 AS n_bytes FROM i),
+v AS (SELECT variant, coalesce(max(CASE WHEN bin_no = 0 AND variant <> 'upper' THEN abs(pctl4) END), 0) AS first_gap, coalesce(max(CASE WHEN bin_no = last AND variant <> 'lower' THEN abs(pctl4 - 10000) END), 0) AS last_gap FROM i JOIN l USING (cluster_id, variant) GROUP BY variant)
+SELECT variant, first_gap, last_gap, first_gap <= 1 AND last_gap <= 1 AS sound, n_rows, n_bytes FROM v, n""",
+        "queries_strata": f"""WITH {_e1(STRATA_QUERIES, "over")}, s AS (SELECT q.query_id, (SELECT count(*) FROM truth t WHERE t.query_id = q.query_id) / (SELECT count(*) FROM h) AS x FROM q),
+n AS (SELECT query_id, CASE WHEN x < 0.1 THEN 'low' WHEN x > 0.1 AND x < 0.9 THEN 'mid' WHEN x > 0.9 THEN 'high' END AS stratum FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || query_id::VARCHAR), query_id) AS k FROM n WHERE stratum IS NOT NULL)
+SELECT query_id::BIGINT AS query_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY query_id) <= 3 THEN 'validation' ELSE 'test' END AS part FROM r WHERE k <= 8""",
+        "queries_generated": f"SELECT query_id::BIGINT AS query_id, percentile, op, reference FROM (VALUES {_rows(GENERATED)}) AS t(query_id, percentile, op, reference)",
         "e3_conversion": found(_e4("conversion", "recall")),
         "e4_conversion_recall": found(_e4("conversion", "recall")),
         "e4_conversion_precision": found(_e4("conversion", "precision")),

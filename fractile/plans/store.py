@@ -18,6 +18,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its scan has too few tasks to use them, as one small file does; larger inputs stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """df written once to the folder in spark.checkpoint.dir and read back."""
     spark = df.sparkSession

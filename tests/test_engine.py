@@ -371,3 +371,38 @@ def test_scan_reads_only_what_it_needs(spark, capsys):
     schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
     assert "l_comment" not in schema and "l_shipdate" not in schema
     assert "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fractile.__main__ import main
+
+    rng = np.random.default_rng(6)
+    (tmp_path / "csv").mkdir()
+    for k in range(4):
+        lines = ["a,b,s"] + [f"{x:.3f},{y},t" for x, y in zip(rng.normal(k, 2, 200), rng.integers(0, 90, 200))]
+        (tmp_path / "csv" / f"d{k}.csv").write_text("\n".join(lines) + "\n")
+    p = {n: str(tmp_path / n) for n in ("csv", "data", "hists", "dists", "clusters", "index", "binsort", "ids", "queries", "truth", "found", "exact", "metrics")}
+    run = lambda *args: main([str(x) for x in args], spark)
+    run("to-parquet", "-i", p["csv"], "-o", p["data"])
+    run("compute-histograms", "-i", p["data"], "-o", p["hists"], "--bin-range", 10, 20)
+    run("compute-distributions", "-i", p["data"], "-o", p["dists"])
+    run("cluster-histograms", "-i", p["hists"], "-o", p["clusters"], "-b", 60, "-n", 2, 2, "-t", "standard")
+    run("create-index", "-i", p["hists"], "-c", p["clusters"], "-o", p["index"], "-m", "conversion")
+    run("compute-binsort", "-i", p["hists"], "-o", p["binsort"])
+    run("filter-histograms", "-i", p["hists"], "-o", p["ids"], "-s", 0.5)
+    run("generate-queries", "-o", p["queries"], "--n-percentiles", 4, "--n-references", 5, "--bounds", -5, 80)
+    run("run", "-t", "histograms", "-i", p["hists"], "-q", p["queries"], "-o", p["truth"])
+    run("run", "-t", "exact", "-i", p["hists"], "-x", p["index"], "-q", p["queries"], "-o", p["exact"])
+    run("run", "-t", "index", "-x", p["index"], "--query", "0.5", "lt", "3.3", "-o", p["found"])
+    run("run", "-t", "normal_dists", "-i", p["dists"], "-q", p["queries"], "--suppress-results")
+    run("run", "-t", "binsort", "-i", p["binsort"], "-q", p["queries"], "--hist-filter", p["ids"], "--suppress-results")
+    run("run", "-t", "rebinned_hists", "-i", p["hists"], "-c", p["clusters"], "-q", p["queries"], "-e", "continuous_value", "--suppress-results")
+    run("query-metrics", "-i", p["hists"], "-r", p["truth"], "-c", p["clusters"], "-o", p["metrics"])
+    capsys.readouterr()
+    run("compare-results", p["truth"], p["exact"])
+    assert "differing results: 0" in capsys.readouterr().out
+    run("compare-indexes", p["index"], p["index"])
+    assert "differing entries: 0" in capsys.readouterr().out
+    assert spark.read.parquet(p["metrics"]).count() == 40 and spark.read.parquet(p["ids"]).count() == 4
+    with pytest.raises(SystemExit):
+        run("run", "-t", "nothing")
