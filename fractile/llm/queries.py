@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op8_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL}
+    return {"op2_minhash": neardup.SQL, "op3_mixing": mixing.SQL, "op8_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL}
