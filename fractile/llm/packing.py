@@ -13,7 +13,8 @@ memory is bounded, nothing is shuffled, and a lost task is redone alike. A
 sequence that ends short (a limit other than tokens was met, or the task ended)
 is cut into sequences of power-of-two lengths, which need no padding.
 
-Defined cases: a null or empty text is the closing id alone; a null id stays
+Defined cases: a null or empty text is the closing id alone; an added token
+written out in a text is its one id, as the tokenizer file says; a null id stays
 null; repeated rows are packed each; an empty table gives an empty one; other
 columns are not read.
 """
@@ -21,6 +22,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -153,26 +155,55 @@ def _powers(pieces: list[Piece], total: int) -> Iterator[list[Piece]]:
         yield run
 
 
-_encoders: dict[str, object] = {}
+#: Characters of white space in a row beyond which the fast splitter could run out of stack.
+LONG_SPACE = 500_000
 
+_encoders: dict[str, Encoder] = {}
 
-def load_encoder(path: str):
-    """An encoder for the byte-level vocabulary of the tokenizer file at path. Special tokens' strings are ordinary text. tiktoken merges the same vocabulary several times faster than the tokenizers library."""
-    if path not in _encoders:
+
+class Encoder:
+    """The ids of the byte-level tokenizer file at path.
+
+    tiktoken merges the same vocabulary several times faster than the tokenizers
+    library, but knows no added tokens and splits by recursion. Texts in which an
+    added token is written out, or that hold very long white space, go to the
+    tokenizers library itself.
+    """
+
+    def __init__(self, path: str) -> None:
         import tiktoken
+        from tokenizers import Tokenizer
 
-        spec = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(visible)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in self.added}
+        self._fast = tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self._full = Tokenizer.from_file(path)
+
+    def plain(self, text: str) -> bool:
+        """Whether the fast way gives the same ids."""
+        if any(a in text for a in self.added):
+            return False
+        return len(text) <= LONG_SPACE or max(map(len, re.split(r"\S+", text))) <= LONG_SPACE
+
+    def encode(self, text: str) -> list[int]:
+        if self.plain(text):
+            return self._fast.encode_ordinary(text)
+        return self._full.encode(text, add_special_tokens=False).ids
+
+
+def load_encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def encode_documents(texts: list[str], path: str, end_id: int = 1) -> list[np.ndarray]:
-    encode = load_encoder(path).encode_ordinary
+    encode = load_encoder(path).encode
     return [np.array([*encode(t), end_id], dtype="<u4") for t in texts]
 
 

@@ -100,7 +100,6 @@ def test_pack_documents(odd_docs, odd_rows):
 
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = defaultdict(list)
     for d, t, *_ in odd_rows:
         want[d].append(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))
@@ -126,13 +125,13 @@ def test_same_ids_as_the_tokenizers_library():
 
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     step = 97
     texts = []
     for first in range(0, 0x110000, step):
         chars = [chr(c) for c in range(first, min(first + step, 0x110000)) if not 0xD800 <= c < 0xE000]
         texts.append("".join(f"a{c}b {c}{c} 1{c}" for c in chars))
     texts += ["<|endoftext|> it's I'LL  we've\n\n x", " " * 50, "a" * 5000, "é" * 3000]
+    texts += ["<|endoftext|>", "a <|endoftext|><|endoftext|>b", "<|endoftext", "a" + " " * 3_000_000 + "b", "\n" * 2_000_000]
     want = [np.array([*e.ids, 1], "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = packing.encode_documents(texts, path)
     different = [k for k, (a, b) in enumerate(zip(got, want)) if not np.array_equal(a, b)]
