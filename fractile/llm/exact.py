@@ -11,14 +11,17 @@ contents ever share a digest, those digests are joined by content as well.
 
 Defined cases: a null text is an empty one; all empty texts are one group; of
 equally long originals the smallest doc_id stays; rows that repeat a doc_id
-count in group_size, share one verdict, and leave one row in `drop_copies`; a
-null doc_id loses against any other, and where all of a group are null, keep_id
-is null and kept is true; other columns, whatever their names, pass untouched.
+count in group_size, and leave one row in `drop_copies` where their texts are
+equal, the longest; a null doc_id loses against any other, and where all of a
+group are null, keep_id is null and kept is true; other columns, whatever their
+names, pass untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,18 +82,28 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    won, _ = winners(docs, salts)
-    stay = won.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("__keep_id"))
-    named = docs.join(stay, docs["doc_id"].cast("long") == F.col("__keep_id"), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("text")), "text")
+def _staying(rows: DataFrame, verdict: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (with __digest and, if a key, __content) that a verdict keeps, one of each group."""
+    stay = verdict.select(F.col("keep_id").alias("__keep_id"), *[F.col(k).alias(f"__of_{k}") for k in keys])
+    own = [f"__{k}" for k in keys]
+    same = reduce(and_, [rows[f"__{k}"] == stay[f"__of_{k}"] for k in keys])
+    named = rows.join(stay.where("__keep_id IS NOT NULL"), same & (rows["doc_id"].cast("long") == stay["__keep_id"]), "left_semi")
+    one = Window.partitionBy("doc_id", *own).orderBy(F.desc(F.char_length("text")), "text")
     named = named.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    nameless = docs.where(docs["doc_id"].isNull())
-    nameless = nameless.withColumn("__digest", sha256(F.regexp_replace(text_of(nameless), f"{SPACE}+", "")))
-    alone = won.where("keep_id IS NULL").select(F.col("digest").alias("__alone"))
-    nameless = nameless.join(alone, F.col("__digest") == F.col("__alone"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
-    return named.unionByName(nameless)
+    nameless = rows.where(rows["doc_id"].isNull()).join(stay.where("__keep_id IS NULL"), same, "left_semi")
+    longest = F.max_by(F.struct(*[nameless[c] for c in rows.columns]), F.struct(F.char_length("text"), "text"))
+    return named.unionByName(nameless.groupBy(*own).agg(longest.alias("__it")).select("__it.*"))
+
+
+def drop_copies(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows that stay, with all their columns. Different texts under one doc_id are each judged by their own group."""
+    won, apart = winners(docs, salts, digest)
+    content = F.regexp_replace(text_of(docs), f"{SPACE}+", "")
+    rows = docs.withColumn("__digest", digest(content))
+    out = _staying(rows, won, ["digest"]).drop("__digest")
+    if apart is not None:
+        out = out.unionByName(_staying(rows.withColumn("__content", content), apart, ["digest", "content"]).drop("__digest", "__content"))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,17 @@ def test_drop_copies(odd_docs, odd_rows):
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted((d for d, _ in stay), key=repr)
 
 
+def test_drop_copies_of_repeated_ids(spark):
+    rows = [(1, "one text"), (1, "another text"), (1, "one  text"), (2, "onetext"), (None, "no name"), (None, "no  name"), (None, "other"), (3, "other"), (3, None), (3, "")]
+    want = [(1, "another text"), (1, "one  text"), (3, "other"), (None, "no  name")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for digest in (exact.sha256, lambda c: (F.char_length(c) % 2).cast("string")):
+        got = sorted((tuple(r) for r in exact.drop_copies(docs, digest=digest).collect()), key=repr)
+        empty = [r for r in got if not r[1]]
+        assert [r for r in got if r[1]] == sorted(want, key=repr)
+        assert len(empty) == 1 and empty[0][0] == 3
+
+
 def test_no_rows(no_docs):
     assert exact.exact_groups(no_docs).count() == 0
     assert exact.drop_copies(no_docs).count() == 0
