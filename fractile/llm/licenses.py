@@ -172,22 +172,20 @@ WITH d AS (
 ), p AS (
   SELECT *, {places} AS places, {base} AS base FROM w
 ), b AS (
-  SELECT id, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-  FROM (SELECT id, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) AS block FROM d)
+  SELECT id, k, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
+  FROM (SELECT id, unnest(range(len(blocks))) AS k, unnest(blocks) AS block FROM (SELECT id, regexp_split_to_array(t, '\n[ \t\r]*\n') AS blocks FROM d))
 ), m AS (
-  SELECT id, label, len(list_intersect(words, template))::DOUBLE / len(template) AS share
+  SELECT id, k, label, len(list_intersect(words, template))::DOUBLE / len(template) AS share
   FROM b, (VALUES {rows}) AS t(label, template, alpha) WHERE len(list_intersect(words, template)) >= alpha
 ), l AS (
-  SELECT id, list(label) AS own, max(share) AS best FROM m GROUP BY id
-), n AS (
-  SELECT id, count(DISTINCT words) AS k FROM (SELECT b.id, b.words FROM b JOIN (VALUES {rows}) AS t(label, template, alpha) ON len(list_intersect(words, template)) >= alpha) GROUP BY id
+  SELECT id, list(label) AS own, max(share) AS best, count(DISTINCT k) AS license_blocks FROM m GROUP BY id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
        array_to_string(list_sort(list_filter(base, lambda x: x IS NOT NULL)), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(list_filter(base, lambda x: x IS NOT NULL), coalesce(own, [])))), ',') AS labels,
        greatest(coalesce(best, 0.0), CASE WHEN len(places) > 0 THEN {PHRASE_SCORE} ELSE 0.0 END)::DOUBLE AS score,
-       coalesce(k, 0)::BIGINT AS license_blocks
-FROM p LEFT JOIN l USING (id) LEFT JOIN n USING (id)
+       coalesce(license_blocks, 0)::BIGINT AS license_blocks
+FROM p LEFT JOIN l USING (id)
 """
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 from fractile.llm import html, licenses, pii, secrets, toxicity
@@ -179,6 +181,19 @@ def test_licenses(spark, odd_docs, odd_rows, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_license_sql(spark, odd_rows):
+    notice, other = (licenses.TEMPLATES[k] for k in ("isc-notice", "mit-notice"))
+    rows = [(r[0], r[1]) for r in odd_rows] + [(5000, f"{notice}\n\n{notice}\n \t\n{other}"), (5001, f"MIT License\n\n{other}\n\nplain\n\n{other}")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        want = db.sql(licenses.SQL).fetchall()
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r[0]: r[-1] for r in want if r[0] in (5000, 5001)} == {5000: 3, 5001: 2}
+
+
 def test_license_plan_has_no_python(odd_docs, capsys):
     licenses.scan_licenses(odd_docs).explain("formatted")
     assert "Python" not in capsys.readouterr().out
