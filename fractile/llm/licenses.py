@@ -160,17 +160,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    at = lambda p: f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: list_slice(w, i, i + {len(p.split()) - 1}) = {p.split()!r})"
-    places = "flatten([" + ", ".join(at(p) for p in PHRASES) + "])"
-    base = "[" + ", ".join(f"CASE WHEN len({at(p)}) > 0 THEN '{k}' END" for p, k in PHRASES.items()) + "]"
+    longest = max(len(p.split()) for p in PHRASES)
+    columns = ", ".join(f"unnest(w[{k + 1}:]) AS w{k}" for k in range(longest))
+    at = lambda p: " AND ".join(f"w{k} = '{x}'" for k, x in enumerate(p.split()))
+    places = " UNION ALL ".join(f"SELECT id, i, '{k}' AS label FROM x WHERE {at(p)}" for p, k in PHRASES.items())
     rows = ", ".join(f"('{t.label}', {sorted(t.words)!r}, {t.alpha})" for t in templates(TEMPLATES, THRESHOLD))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
+), x AS (
+  SELECT id, unnest(range(len(w))) AS i, {columns} FROM w
 ), p AS (
-  SELECT *, {places} AS places, {base} AS base FROM w
+  SELECT id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM ({places}) GROUP BY id
 ), b AS (
   SELECT id, k, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
   FROM (SELECT id, unnest(range(len(blocks))) AS k, unnest(blocks) AS block FROM (SELECT id, regexp_split_to_array(t, '\n[ \t\r]*\n') AS blocks FROM d))
@@ -180,12 +183,12 @@ WITH d AS (
 ), l AS (
   SELECT id, list(label) AS own, max(share) AS best, count(DISTINCT k) AS license_blocks FROM m GROUP BY id
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
-       array_to_string(list_sort(list_filter(base, lambda x: x IS NOT NULL)), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_concat(list_filter(base, lambda x: x IS NOT NULL), coalesce(own, [])))), ',') AS labels,
-       greatest(coalesce(best, 0.0), CASE WHEN len(places) > 0 THEN {PHRASE_SCORE} ELSE 0.0 END)::DOUBLE AS score,
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels,
+       greatest(coalesce(best, 0.0), CASE WHEN n_base > 0 THEN {PHRASE_SCORE} ELSE 0.0 END)::DOUBLE AS score,
        coalesce(license_blocks, 0)::BIGINT AS license_blocks
-FROM p LEFT JOIN l USING (id)
+FROM w LEFT JOIN p USING (id) LEFT JOIN l USING (id)
 """
 
 
