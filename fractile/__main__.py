@@ -131,7 +131,7 @@ def parser() -> argparse.ArgumentParser:
     add("to-parquet", to_parquet, *io)
     add("compute-histograms", compute_histograms, *io, seed, opt("--bin-range", type=int, nargs=2), opt("--scaling-factor", type=float, default=1.0), opt("--compute-frequencies", action="store_true"))
     add("compute-distributions", compute_distributions, *io)
-    add("cluster-histograms", cluster, *io, seed, opt("-a", "--algorithm", default="kmeans", choices=["kmeans", "bisecting", "agglomerative"]), opt("-n", "--n-clusters", type=int, nargs=2, default=(1, 1)), opt("-b", "--bin-budget", type=int, required=True), opt("-t", "--transform", choices=["none", "standard", "robust", "quantile", "power"]), opt("--alpha", type=float, default=1.0, help=f"up to {math.inf}"))
+    add("cluster-histograms", cluster, *io, seed, opt("-a", "--algorithm", default="kmeans", choices=["kmeans", "bisecting", "agglomerative", "hdbscan"]), opt("-n", "--n-clusters", type=int, nargs=2, default=(1, 1)), opt("-b", "--bin-budget", type=int, required=True), opt("-t", "--transform", choices=["none", "standard", "robust", "quantile", "power"]), opt("--alpha", type=float, default=1.0, help=f"up to {math.inf}"))
     add("create-index", build_index, *io, (clustered[0], {"required": True}), opt("-m", "--method", default="rebinning", choices=[m + s for m in METHODS for s in ("", "-shm")]), opt("-e", "--estimation", default="continuous_value", choices=["continuous_value", "cubic_spline"]))
     add("compute-binsort", build_binsort, *io)
     add("filter-histograms", filter_ids, *io, seed, opt("-s", "--selectivity", type=float, required=True))

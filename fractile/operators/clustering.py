@@ -14,7 +14,7 @@ from fractile.plans.store import checkpointed
 
 BOUND = 1e31
 FEATURES = ("low", "high", "width")
-#: Rows up to which single linkage, which needs all distances, is allowed.
+#: Rows up to which single linkage and density clustering, which need all distances, are allowed.
 LINKAGE_ROWS = 5_000
 
 
@@ -84,12 +84,15 @@ def calinski_harabasz(labelled: DataFrame) -> float:
 
 
 def cluster_labels(rows: DataFrame, algorithm: str = "kmeans", n_clusters: tuple[int, int] = (1, 1), seed: int = 42) -> DataFrame:
-    """(hist_id, label): of every number of clusters in the range the fit with the best Calinski-Harabasz score. (1, 1) is the trivial clustering."""
+    """(hist_id, label): of every number of clusters in the range the fit with the best Calinski-Harabasz score. (1, 1) is the trivial clustering; hdbscan finds the number by itself and its noise is one cluster, label -1."""
     low, high = n_clusters
     if (low, high) == (1, 1):
         return rows.select("hist_id", F.lit(0).alias("label"))
     if algorithm == "agglomerative":
         return _single_linkage(rows, range(max(2, low), high + 1))
+    if algorithm == "hdbscan":
+        ids, x = _all_rows(rows)
+        return _labelled(rows, ids, density_labels(x))
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -109,28 +112,113 @@ def cluster_labels(rows: DataFrame, algorithm: str = "kmeans", n_clusters: tuple
     return out
 
 
-def _single_linkage(rows: DataFrame, ks: range) -> DataFrame:
-    """Single linkage over all distances: in one task, for at most LINKAGE_ROWS histograms."""
+def _all_rows(rows: DataFrame) -> tuple[pd.Series, np.ndarray]:
+    """Ids and features of at most LINKAGE_ROWS histograms, in order of the ids."""
     if rows.limit(LINKAGE_ROWS + 1).count() > LINKAGE_ROWS:
-        raise ValueError(f"single linkage needs all distances; {LINKAGE_ROWS} histograms at most, use bisecting")
+        raise ValueError(f"this clustering needs all distances; {LINKAGE_ROWS} histograms at most, use bisecting")
     pdf = rows.orderBy("hist_id").toPandas()
-    x = pdf[list(FEATURES)].to_numpy(float)
+    return pdf["hist_id"], pdf[list(FEATURES)].to_numpy(float)
+
+
+def _labelled(rows: DataFrame, ids: pd.Series, labels: np.ndarray) -> DataFrame:
+    return rows.sparkSession.createDataFrame(pd.DataFrame({"hist_id": ids, "label": labels.astype("int32")}), "hist_id long, label int")
+
+
+def _spanning_tree(x: np.ndarray, core: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """Prim's tree over distances, none smaller than its ends' core distances: (length, node, node), shortest first."""
     n = len(x)
     near, link, done, tree = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
     at = 0
-    for _ in range(n - 1):  # Prim's tree: its longest edges are the last merges
+    for _ in range(n - 1):
         done[at] = True
         d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        if core is not None:
+            d = np.maximum(np.maximum(d, core), core[at])
         closer = ~done & (d < near)
         near[closer], link[closer] = d[closer], at
         at = int(np.where(done, np.inf, near).argmin())
-        tree.append((near[at], at, link[at]))
+        tree.append((float(near[at]), at, int(link[at])))
+    return sorted(tree)
+
+
+#: Density of points at distance 0.
+DENSEST = 1e300
+
+
+def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.ndarray:
+    """HDBSCAN: of the hierarchy of groups of at least `least` points the most stable ones that don't overlap, numbered in order of their first points; -1 for points in none.
+
+    Density is 1 / distance. A group lives from the density at which it splits
+    off to the one at which it splits in two; its stability is how long its
+    points stay in it, summed. The whole is never a group of its own. With one
+    neighbour, the point itself, core distances are 0.
+    """
+    n = len(x)
+    core = None
+    if neighbours > 1 and n:
+        core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), min(neighbours, n) - 1)[min(neighbours, n) - 1] for p in x])
+    halves, density, top = {}, {}, list(range(n))
+
+    def node(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    for length, a, b in _spanning_tree(x, core):
+        a, b, new = node(a), node(b), len(top)
+        halves[new], density[new] = (a, b), min(DENSEST, 1 / length) if length else DENSEST
+        top.append(new)
+        top[a] = top[b] = new
+    sizes = [1] * n
+    for k in range(n, len(top)):
+        sizes.append(sum(sizes[h] for h in halves[k]))
+
+    groups = [(len(top) - 1, 0.0, -1)] if n else []  # node, density at birth, parent; parents come first
+    stability = []
+    for at, birth, _ in groups:
+        own, stays = 0.0, at
+        while stays is not None and stays >= n:
+            large = [h for h in halves[stays] if sizes[h] >= least]
+            own += (density[stays] - birth) * (sizes[stays] - (sizes[large[0]] if len(large) == 1 else 0))
+            if len(large) == 2:
+                groups += [(h, density[stays], len(stability)) for h in large]
+            stays = large[0] if len(large) == 1 else None
+        stability.append(own)
+    below, chosen = [0.0] * len(groups), [False] * len(groups)
+    for g in range(len(groups) - 1, 0, -1):
+        chosen[g] = below[g] <= stability[g]
+        below[groups[g][2]] += max(below[g], stability[g])
+    out = np.full(n, -1)
+    covered = [False] * len(groups)
+    for g in range(1, len(groups)):
+        up = groups[g][2]
+        covered[g] = covered[up] or chosen[up]
+        if chosen[g] and not covered[g]:
+            left = [groups[g][0]]
+            while left:
+                k = left.pop()
+                if k < n:
+                    out[k] = g
+                else:
+                    left += halves[k]
+    _, first, inverse = np.unique(out, return_index=True, return_inverse=True)
+    found = [k for k in np.argsort(first) if out[first[k]] >= 0]
+    names = np.full(len(first), -1)
+    names[found] = np.arange(len(found))
+    return names[inverse]
+
+
+def _single_linkage(rows: DataFrame, ks: range) -> DataFrame:
+    """Single linkage over all distances: the tree's longest edges are the last merges."""
+    ids, x = _all_rows(rows)
+    n, tree = len(x), _spanning_tree(x)
     best = (-math.inf, np.zeros(n, int))
     for k in ks:
         if k > n:
             break
         label = np.arange(n)
-        for _, a, b in sorted(tree)[: n - k]:
+        for _, a, b in tree[: n - k]:
             label[label == label[a]] = label[b]
         label = np.unique(label, return_inverse=True)[1]
         means = np.stack([x[label == c].mean(axis=0) for c in range(k)])
@@ -140,7 +228,7 @@ def _single_linkage(rows: DataFrame, ks: range) -> DataFrame:
         score = math.inf if within <= 0 or n == k else (between / (k - 1)) / (within / (n - k)) if k > 1 else -math.inf
         if score > best[0]:
             best = (score, label)
-    return rows.sparkSession.createDataFrame(pd.DataFrame({"hist_id": pdf["hist_id"], "label": best[1].astype("int32")}))
+    return _labelled(rows, ids, best[1])
 
 
 def members(labels: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def test_clustering(spark, random_hists):
     truth = None
     asked = q.to_frame(spark, off_edge(n=8))
     truth = as_set(evaluate.scan(hists, asked))
-    for transform, algorithm, span in [(None, "kmeans", (1, 1)), ("standard", "kmeans", (2, 3)), ("robust", "bisecting", (3, 3)), ("quantile", "agglomerative", (2, 4)), ("power", "kmeans", (2, 2))]:
+    for transform, algorithm, span in [(None, "kmeans", (1, 1)), ("standard", "kmeans", (2, 3)), ("robust", "bisecting", (3, 3)), ("quantile", "agglomerative", (2, 4)), ("power", "kmeans", (2, 2)), ("standard", "hdbscan", (2, 2))]:
         members, clusters = clustering.cluster_histograms(hists, 60, transform, algorithm, span)
         members, clusters = store.checkpointed(members, "members"), store.checkpointed(clusters, "clusters")
         k = clusters.count()
@@ -242,11 +242,66 @@ def test_clustering(spark, random_hists):
     budget = clustering.cluster_edges(hists, members, 60, math.inf).select(F.size("edges")).distinct().count()
     assert budget == 1
     with pytest.raises(NotImplementedError):
-        clustering.cluster_labels(clustering.features(hists), "hdbscan", (2, 2))
+        clustering.cluster_labels(clustering.features(hists), "optics", (2, 2))
     with pytest.raises(ValueError):
         clustering.transformed(clustering.features(hists), "umap")
 
 
+def slow_density_groups(x, least):
+    """The definition by thresholds: a group's parts are its components when its longest needed distances are cut."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+
+    def parts(points, limit):
+        left, out = set(points), []
+        while left:
+            part, edge = set(), [left.pop()]
+            while edge:
+                k = edge.pop()
+                part.add(k)
+                near = {j for j in left if d[k, j] < limit}
+                left -= near
+                edge += near
+            out.append(part)
+        return out
+
+    def group(points, birth):
+        own = 0.0
+        while True:
+            lengths = sorted({d[a, b] for a in points for b in points if a != b})
+            cut = next(t for t in reversed(lengths) if len(parts(points, t)) > 1)
+            large = [p for p in parts(points, cut) if len(p) >= least]
+            if len(large) != 1:
+                own += (1 / cut - birth) * len(points)
+                return own, [(p, *group(p, 1 / cut)) for p in large]
+            own += (1 / cut - birth) * (len(points) - len(large[0]))
+            points = large[0]
+
+    def best(points, own, below):
+        found = [best(*b) for b in below]
+        total = sum(s for s, _ in found)
+        return (total, [g for _, gs in found for g in gs]) if total > own else (own, [points])
+
+    return {frozenset(g) for b in group(set(range(len(x))), 0.0)[1] for g in best(*b)[1]}
+
+
+def test_density_labels():
+    rng = np.random.default_rng(4)
+    several = 0
+    for k in range(60):
+        n, centres = int(rng.integers(8, 45)), rng.uniform(-6, 6, (int(rng.integers(1, 5)), 3))
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 3)) * rng.uniform(0.1, 2, (n, 1))
+        least = int(rng.integers(2, 6))
+        labels = clustering.density_labels(x, least)
+        found = {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(labels.max() + 1)}
+        assert found == slow_density_groups(x, least), k
+        several += len(found) > 1
+    assert several > 20
+    blobs = np.concatenate([np.full((6, 3), 1.0), np.full((7, 3), 9.0), [[40.0, 0, 0]]])
+    assert clustering.density_labels(blobs).tolist() == [0] * 6 + [1] * 7 + [-1]
+    assert clustering.density_labels(blobs, neighbours=3).tolist() == [0] * 6 + [1] * 7 + [-1]
+    assert clustering.density_labels(np.zeros((0, 3))).tolist() == [] and clustering.density_labels(np.ones((3, 3))).tolist() == [-1] * 3
+
+
 def test_metrics_conventions(spark):
     asked = q.to_frame(spark, [q.PercentileQuery(0.5, "lt", 1.0)] * 4)
     pairs = lambda rows: spark.createDataFrame(rows, "query_id long, hist_id long")
