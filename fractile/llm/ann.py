@@ -175,13 +175,15 @@ def _nearest(group_rows: pd.DataFrame, group_queries: pd.DataFrame, k: int) -> p
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     qids, q = group_queries["query_id"].to_numpy(), _matrix(group_queries["vector"])
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    keep = min(k, len(firsts))
     slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max() * x.shape[1]
     out = []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
         s[qids[a : a + 256, None] == ids[None, :]] = -np.inf
-        keep = min(k, len(ids))
-        floor = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        merged = s if len(firsts) == len(ids) else np.maximum.reduceat(s, firsts, axis=1)  # the best product of each vec_id
+        floor = np.partition(merged, len(firsts) - keep, axis=1)[:, len(firsts) - keep]
         near = s >= (floor - slack[a : a + 256])[:, None]
         for row, hits in enumerate(near):
             at = np.flatnonzero(hits & np.isfinite(s[row]))
@@ -202,13 +204,13 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, sample: int
     """query_id, rank, vec_id, score: the k nearest rows of embeddings found for each row of queries, its own vec_id left out."""
     rows = scratch(valid_vectors(embeddings), "ann-rows")
     asked = valid_vectors(queries).select(F.col("vec_id").alias("query_id"), "vector")
-    total, top = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
+    total, distinct, top = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("vec_id", 0.02), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
     draw = F.xxhash64(F.lit(11), "vec_id")
-    share = min(1.0, 1.5 * sample / total + 1e-3)
-    picked = rows.where(drawn(draw, share)).orderBy(draw, "vec_id").limit(sample).toPandas()
+    share = min(1.0, 1.5 * sample / max(1, distinct) + 1e-3)
+    picked = rows.where(drawn(draw, share)).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(draw, "vec_id").limit(sample).toPandas()  # one row a vec_id, else a row's neighbours are its own repeats
     parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << int(np.ceil(np.log2(max(1, total / ROWS_PER_PART))))))
     router = train_router(_matrix(picked["vector"]), float(top), parts, k, recall)
 

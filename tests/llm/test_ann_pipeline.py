@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 
 from fractile.llm import ann
 
@@ -51,6 +52,29 @@ def test_rows_that_take_no_part(spark):
     assert ann.nearest(table.limit(0), table, 20).count() == 0
 
 
+def test_repeated_rows_leave_room_for_other_ids():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + 0.2 * rng.normal(size=(60, 8))
+    rows = [(int(k), [float(v) for v in row]) for k, row in enumerate(x)]
+    hot = max(rows[1:], key=lambda r: float(np.dot(r[1], x[0])))
+    rows += [(hot[0], [v * (1 + 1e-6 * j) for v in hot[1]]) for j in range(1, 41)]  # over 20 rows of the nearest id
+    rows += rows[:60]
+    asked = [r for r in rows[:60] if r[0] % 20 == 0]
+    got = ann._nearest(pd.DataFrame(rows, columns=["vec_id", "vector"]), pd.DataFrame(asked, columns=["query_id", "vector"]), 20)
+    for q, own in brute(rows, asked, 20).items():
+        assert got[got["query_id"] == q]["vec_id"].tolist() == [v for v, _ in own]
+
+
+def test_repeats_do_not_set_the_probes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), [float(v) for v in row]) for k, row in enumerate(rng.normal(size=(600, 12)))]
+    table = spark.createDataFrame(rows * 25, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(table, table.where("vec_id % 20 = 0").dropDuplicates(["vec_id"]), 20, sample=600).collect()
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & {v for v, _ in own}) for q, own in want.items())
+    assert hits / (20 * len(want)) >= 0.9
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(3).normal(size=(900, 8))
     labels = ann.balanced_parts(ann.neighbour_graph(x, 8), 8)
