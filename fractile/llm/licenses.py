@@ -10,6 +10,14 @@ words at all (length) and if what precedes and follows the hit on both sides can
 still add up to alpha (position). Survivors are verified on the whole sets, so
 every block and template above the threshold is found.
 
+Some notices are published in paragraphs (BREAKS). Such a template is also found
+across blocks: its paragraphs' shares must each reach the threshold in blocks
+that follow each other, with at most one other block (the address in the Apache
+notice) between, and together the template's; blocks without template words
+don't count, and blocks that hold the whole template are left to the above. A
+notice over several blocks counts as one license block. SQL compares single
+blocks only, so it has fewer labels on such texts.
+
 Templates are few and fixed, so their index travels as literals in the plan and
 documents aren't shuffled; only the words' block counts are aggregated.
 
@@ -46,6 +54,8 @@ TEMPLATES = {
     "cc-notice": "this work is licensed under a creative commons attribution international license to view a copy of this license visit",
     "unlicense-notice": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
 }
+#: The words that begin the second paragraph of a notice as it is published.
+BREAKS = {"apache-notice": "unless required by", "bsd-notice": "redistributions of source", "unlicense-notice": "anyone is free"}
 THRESHOLD = 0.8
 #: How much a phrase alone says, as a score.
 PHRASE_SCORE = 0.9
@@ -137,21 +147,54 @@ def contained(blocks: Column, found: list[Template], ranks: dict[str, int]) -> C
     return F.transform(F.filter(blocks, lambda b: F.size(b) >= F.lit(min(t.alpha for t in found))), of)
 
 
+def parted(found: list[Template], texts: dict[str, str], threshold: float) -> list[tuple[Template, list[Template]]]:
+    """The templates that are published in two paragraphs, with those paragraphs."""
+    out = []
+    for t in found:
+        first, begin, rest = texts[t.label].partition(BREAKS.get(t.label, "\0"))
+        if begin:
+            out.append((t, [part for own in (first, begin + rest) for part in templates({t.label: own}, threshold)]))
+    return out
+
+
+def across(blocks: Column, pairs: list[tuple[Template, list[Template]]]) -> Column:
+    """(label, share) of each place where a template's two paragraphs stand in blocks that follow each other."""
+    shared = lambda b, t: F.size(F.array_intersect(b, F.lit(sorted(t.words))))
+
+    def of(own: Column, t: Template, first: Template, second: Template) -> Column:
+        begins = lambda b: (F.size(b) >= first.alpha) & (shared(b, first) >= first.alpha) & (shared(b, t) < t.alpha)
+        ends = lambda b: (F.size(b) >= second.alpha) & (shared(b, second) >= second.alpha) & (shared(b, t) < t.alpha)
+
+        def place(b: Column, i: Column) -> Column:
+            after = F.filter(F.slice(own, i + 2, 2), ends)
+            both = F.when(begins(b), F.array_max(F.transform(after, lambda c: shared(F.array_union(b, c), t))))
+            return F.struct(F.lit(t.label).alias("label"), F.when(both >= t.alpha, both / len(t.words)).alias("share"))
+
+        return F.filter(F.transform(own, place), lambda h: h["share"].isNotNull())
+
+    own = F.filter(blocks, lambda b: F.size(b) > 0)
+    some = F.exists(blocks, lambda b: F.size(b) >= min(p.alpha for _, parts in pairs for p in parts))
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    return F.when(some, F.concat(none, *[of(own, t, *parts) for t, parts in pairs])).otherwise(none)
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks: the number of license blocks."""
     found = templates(texts, threshold)
     rows = scratch(prepared(docs, phrases, found), "license-words")
     rows = rows.withColumn("hit", contained(F.col("blocks"), found, word_ranks(rows, found)))
+    pairs = parted(found, texts, threshold)
+    rows = rows.withColumn("over", across(F.col("blocks"), pairs) if pairs else F.array().cast("array<struct<label:string,share:double>>"))
     all_hits = F.flatten("hit")
     names = F.lit([t.label for t in found])
     own = F.transform(all_hits, lambda h: F.element_at(names, h["t"] + 1))
-    best = F.coalesce(F.array_max(F.transform(all_hits, lambda h: h["share"])), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.concat(F.transform(all_hits, lambda h: h["share"]), F.col("over.share"))), F.lit(0.0))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", own))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", own, F.col("over.label")))), ",").alias("labels"),
         F.greatest(best, F.when(F.col("n_base") > 0, F.lit(PHRASE_SCORE)).otherwise(F.lit(0.0))).alias("score"),
-        F.size(F.filter("hit", lambda h: F.size(h) > 0)).cast("long").alias("license_blocks"),
+        (F.size(F.filter("hit", lambda h: F.size(h) > 0)) + F.size("over")).cast("long").alias("license_blocks"),
     )
 
 

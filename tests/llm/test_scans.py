@@ -194,6 +194,43 @@ def test_license_sql(spark, odd_rows):
     assert {r[0]: r[-1] for r in want if r[0] in (5000, 5001)} == {5000: 3, 5001: 2}
 
 
+BSD = """Copyright (c) 2001, The Owner
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE = """Copyright 2020 The Owner
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means."""
+
+
+def test_licenses_in_published_layout(spark):
+    first, second = BSD.split("\n\n")[1:3]
+    rows = [(1, BSD), (2, APACHE), (3, UNLICENSE), (4, f"{first}\n\nplain words\n\nof the day\n\nand others\n\n{second}"), (5, f"{second}\n\n{first}"), (6, f"{BSD}\n\n{APACHE}")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r["labels"], r["license_blocks"]) for k, r in got.items()} == {1: ("bsd-notice", 1), 2: ("apache,apache-notice", 1), 3: ("unlicense-notice", 1), 4: ("", 0), 5: ("", 0), 6: ("apache,apache-notice,bsd-notice", 2)}
+    assert all(got[k]["score"] >= 0.8 for k in (1, 2, 3, 6))
+
+
 def test_license_plan_has_no_python(odd_docs, capsys):
     licenses.scan_licenses(odd_docs).explain("formatted")
     assert "Python" not in capsys.readouterr().out
