@@ -8,9 +8,12 @@ literals are constants; a value that is such a name stands for its literal. Each
 how much the literal looks like a credential, and literals above the threshold
 are reported where they stand, under the kind "literal".
 
+Values are read to their end, however long. A private key in PEM armour counts as
+a literal over several lines too, and despite its spaces.
+
 Defined cases: a null or empty text has no finding; a repeated row is scanned
-again; literals of over 4096 characters aren't credentials; other columns are
-not read.
+again; other literals with white space aren't credentials; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -44,10 +47,15 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|undefined
 
 _SIGN = re.compile(r"=>|:=|[:=]|>")
 _NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.$-]{0,79})["'\]]{0,2}[ \t]{0,8}$""", re.ASCII)
-_QUOTED = re.compile(r"""[ \t]{0,8}(?:[rbuf]{0,2})("(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`)""")
+_QUOTED = re.compile(r"""[ \t]{0,8}(?:[rbuf]{0,2})("(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`)""")
+_PEM = re.compile(r"""[ \t]{0,8}(?:[rbuf]{0,2})(?:"{1,3}|'{1,3}|`)?(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z0-9 ]{0,40}-----(?:[^-"'`]++|-(?!----))*+-----END [A-Z0-9 ]{1,80}-----)""")
+_PRIVATE = re.compile(r"\s*(?:\\[nr])*-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z0-9 ]{0,40}-----")
 _JOIN = re.compile(r"[ \t]{0,8}[+.]?[ \t]{0,8}(?=[\"'])")
-_BARE = re.compile(r"""[ \t]{0,8}([A-Za-z0-9+/_.=~!@$%^&*-]{1,512})(?![A-Za-z0-9+/_.=~!@$%^&*(-])""")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
+_BARE = re.compile(r"""[ \t]{0,8}([A-Za-z0-9+/_.=~!@$%^&*-]++)""")
+_BLANKS = re.compile(r"[ \t]{0,8}")
+_LETTERS = re.compile(r"[A-Za-z]*+")
+#: Placeholders in a bare value, without a look at what follows an open beginning.
+_BARE_PLACEHOLDER = re.compile(r"(?i)(?:(?:x++|\*++|\.++|-++|none|null|true|false|undefined|todo|test|redacted|\$[a-z_][a-z0-9_]*+)\Z|example|sample|your[_-]|change_?me|placeholder|dummy)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -71,61 +79,101 @@ def name_weight(name: str) -> float:
 
 
 def literal_strength(value: str) -> float:
-    """From 0 to 1 by length, variety and how unlike a word or placeholder the literal is."""
-    n = len(value)
-    if n < 8 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    """From 0 to 1 by length, variety and how unlike a word or placeholder the literal is; 1 for a private key."""
+    if _PRIVATE.match(value):
+        return 1.0
+    if len(value) < 8 or PLACEHOLDERS.match(value):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if kinds == 1 and not value.isdigit() and n < 20:
+    return _strength(Counter(value), len(value))
+
+
+def _strength(counts: Counter[str], n: int) -> float:
+    """By how often each character occurs in a literal of n characters."""
+    if any(c.isspace() for c in counts):
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c)
+    kinds = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts})
+    if kinds == 1 and n < 20 and not all(c.isdigit() for c in counts):
         return 0.3
     return min(1.0, 0.25 * min(n, 16) / 16 + 0.45 * min(entropy, 4.0) / 4.0 + 0.15 * kinds)
 
 
-def _value(text: str, at: int) -> tuple[int, int, str, bool] | None:
-    """start, end, content and whether it is quoted, of the value that begins at or soon after at."""
+def _bare_strengths(text: str, spans: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """literal_strength of bare values, in linear time though one that holds "=" ends with another."""
+    out: dict[tuple[int, int], float] = {}
+    counts: Counter[str] = Counter()
+    at = end = -1
+    for a, b in sorted(spans, key=lambda s: (s[1], -s[0])):
+        if b != end:
+            counts, at, end = Counter(), b, b
+        counts.update(text[a:at])
+        at = a
+        unlike = b - a >= 8 and not _BARE_PLACEHOLDER.match(text, a, b) and not (text[a] == "%" == text[b - 1])
+        out[a, b] = _strength(counts, b - a) if unlike else 0.0
+    return out
+
+
+def _quoted(text: str, at: int) -> tuple[int, int, str] | None:
+    """start, end and content of the quoted literal, or the private key, that begins at or soon after at."""
+    if m := _PEM.match(text, at):
+        return m.start(1), m.end(1), m[1]
     if m := _QUOTED.match(text, at):
-        start, end, content = m.start(1) + 1, m.end(1) - 1, m[1][1:-1]
+        start, end, parts = m.start(1) + 1, m.end(1) - 1, [m[1][1:-1]]
         while (j := _JOIN.match(text, m.end())) and (more := _QUOTED.match(text, j.end())):
-            m, end, content = more, more.end(1) - 1, content + more[1][1:-1]
-        return start, end, content, True
-    if m := _BARE.match(text, at):
-        return m.start(1), m.end(1), m[1], False
+            m, end = more, more.end(1) - 1
+            parts.append(more[1][1:-1])
+        return start, end, "".join(parts)
     return None
 
 
-def name_literal_pairs(text: str) -> list[tuple[str, int, int, str]]:
-    """(name, start, end, literal) of every assignment, constants put in for the names that stand for them."""
+def name_literal_pairs(text: str) -> list[tuple[str, int, int, str | None]]:
+    """(name, start, end, literal) of every assignment, constants put in for the names that stand for them; the literal is None for the bare text from start to end."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    bound: dict[str, tuple[int, int, str]] = {}
+    bound: dict[str, tuple[int, int, str | None]] = {}
     pairs = []
+    run_end = -1  # of the last run of bare characters: a value that begins in it ends with it
     for m in _SIGN.finditer(text):
         at = m.start()
-        if m[0] in "=:" and (text[at + 1 : at + 2] in ("=", "/") or text[at - 1 : at] in ("=", "!", "<", ">", ":")):
+        if m[0] in "=:" and (text[at + 1 : at + 2] == "=" or (m[0] == ":" and text.startswith("//", at + 1)) or text[at - 1 : at] in ("=", "!", "<", ">", ":")):
             continue
         if m[0] == ">" and text[at - 1 : at] in ("=", "-", "/"):
             continue
         before = _NAME_BEFORE.search(text, max(0, at - 96), at)
         if not before or (m[0] == ">" and text[before.start() - 1 : before.start()] != "<"):
             continue
-        value = _value(text, m.end())
-        if not value:
+        if value := _quoted(text, m.end()):
+            pairs.append((before[1], *value))
+            bound.setdefault(before[1], value)
+            continue
+        start = _BLANKS.match(text, m.end()).end()
+        if start >= run_end:
+            bare = _BARE.match(text, m.end())
+            if not bare:
+                continue
+            run_end = bare.end()
+        if text[run_end : run_end + 1] == "(":
             continue
-        start, end, content, quoted = value
-        if not quoted and (known := bound.get(content)):
-            start, end, content = known
-        elif not quoted and _IDENTIFIER.match(content) and content.isalpha():
+        value = (start, run_end, None)
+        if run_end - start <= 80 and (known := bound.get(text[start:run_end])):
+            value = known
+        elif _LETTERS.match(text, start).end() >= run_end:
             continue
-        bound.setdefault(before[1], (start, end, content))
-        pairs.append((before[1], start, end, content))
+        bound.setdefault(before[1], value)
+        pairs.append((before[1], *value))
     return pairs
 
 
 def own_spans(text: str) -> list[Span]:
-    found = {(a, b) for name, a, b, literal in name_literal_pairs(text) if (w := name_weight(name)) and w * literal_strength(literal) >= THRESHOLD}
-    return [(a, b, "literal") for a, b in sorted(found)]
+    weights: dict[tuple[int, int], float] = {}
+    literals: dict[tuple[int, int], str | None] = {}
+    for name, a, b, literal in name_literal_pairs(text):
+        if w := name_weight(name):
+            weights[a, b] = max(w, weights.get((a, b), 0.0))
+            literals[a, b] = literal
+    strengths = _bare_strengths(text, [s for s, literal in literals.items() if literal is None])
+    strengths |= {s: literal_strength(literal) for s, literal in literals.items() if literal is not None}
+    return [(a, b, "literal") for (a, b), w in sorted(weights.items()) if w * strengths[a, b] >= THRESHOLD]
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
