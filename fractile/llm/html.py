@@ -9,6 +9,13 @@ The best container is kept, or the article it lies in, and with it siblings that
 score well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 hidden elements and reader comments are left out wherever they stand.
 
+Words of a class or id may also name a wrapper or a state ("content-sidebar-wrap",
+"post comments-open"). They drop no element that has a content word in a class or
+id of its own, that holds a main element, or that holds more text than all that is
+left outside, if that is its articles' text or its class or id also has a content
+word. Where little or no text is left, they count as weights only, except those
+of reader comments.
+
 Defined cases: null or empty html, and pages without text outside what is left
 out, give an empty text; repeated rows give repeated results; other columns pass
 only if they are page_id or url.
@@ -18,7 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,16 +57,21 @@ DROPPED_WORDS = {
     "reply", "share", "sharing", "social", "related", "recommended", "recommendations", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar",
     "widget", "hidden", "skip", "alert", "warning", "disclaimer", "paywall",
 }
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply"}
 CONTENT_WORDS = {"article", "content", "entry", "main", "post", "story", "text", "body", "page", "blog"}
+#: A text of fewer characters is little, and what replaces it has so many at least and so many times its length.
+LITTLE, ENOUGH, TIMES = 140, 240, 4
 #: An end tag of this kind of element on the left closes an open one on the right.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
 BARRIERS = {"html", "body", "article", "section", "main", "div", "table", "ul", "ol", "dl", "aside", "nav", "header", "footer", "form", "blockquote", "td", "th", "li", "figure"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "weight", "order")
+    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "weight", "order", "hard", "worded", "words", "main")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, weight: float) -> None:
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, weight: float, order: int = 0, hard: bool = False, worded: bool = False, words: frozenset[str] = frozenset(), main: bool = False) -> None:
+        """hard: left out whatever the words say; worded: its own words drop it."""
+        self.order, self.hard, self.worded, self.words, self.main = order, hard, worded, words, main
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
         self.points, self.chars, self.linked = None, 0, 0
 
@@ -68,28 +80,33 @@ def _said(attrs: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(attrs)}
 
 
-def _open(tag: str, attrs: str, parent: Node) -> Node:
-    dropped, weight = parent.dropped or tag in DROPPED, 0.0
-    if tag == "header" and not dropped:
+def _open(tag: str, attrs: str, parent: Node, order: int, spared: Set[int]) -> Node:
+    hard, weight, worded, main, words = parent.hard or tag in DROPPED, 0.0, False, tag == "main", frozenset()
+    if tag == "header" and not hard:
         up: Node | None = parent
         while up and up.tag not in ("article", "main"):
             up = up.parent
-        dropped = up is None
+        hard = up is None
     if attrs.strip(" /\t\r\n"):
         said = _said(attrs)
-        words = {w.lower() for k in ("class", "id") for w in _PART.findall(said.get(k, ""))}
+        names = [frozenset(w.lower() for w in _PART.findall(x)) for x in (*said.get("class", "").split(), said.get("id", ""))]
+        words = frozenset().union(*names)
         good, bad = bool(words & CONTENT_WORDS), bool(words & DROPPED_WORDS)
         if bad and not words & {"has", "with", "no"} and tag not in ("html", "body", "article", "main"):
-            dropped = True
+            worded = not any(x & CONTENT_WORDS and not x & DROPPED_WORDS for x in names)
+        main |= said.get("role") == "main"
         if said.get("role") in DROPPED_ROLES or "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")):
-            dropped = True
+            hard = True
         weight += 25.0 * good - 25.0 * bad
     weight += {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0}.get(tag, 0.0)
-    return Node(tag, parent, dropped, weight)
+    return Node(tag, parent, parent.dropped or hard or (worded and order not in spared), weight, order, hard, worded, words, main)
+
 
+def parse(page: str, spared: Set[int] = frozenset(), named: list[Node] | None = None) -> list[tuple[Node, str]]:
+    """Blocks in page order: the innermost block element and the text of a run without block boundaries, white space made single.
 
-def parse(page: str) -> list[tuple[Node, str]]:
-    """Blocks in page order: the innermost block element and the text of a run without block boundaries, white space made single."""
+    Words don't drop the elements of the orders in spared; named gets the elements with such words, articles and main elements that nothing else leaves out."""
+    order = 0
     root = Node("#root", None, False, 0.0)
     stack, blocks, run = [root], [], []
     anchors, at, n = 0, 0, len(page)
@@ -171,7 +188,10 @@ def parse(page: str) -> list[tuple[Node, str]]:
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append(_open(tag, attrs, stack[-1]))
+        order += 1
+        stack.append(_open(tag, attrs, stack[-1], order, spared))
+        if named is not None and not stack[-1].hard and (stack[-1].worded or stack[-1].main or tag == "article"):
+            named.append(stack[-1])
         anchors += tag == "a"
     flush()
     return blocks
@@ -181,8 +201,45 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _spared(page: str, left: int, named: list[Node]) -> set[int]:
+    """Orders of the elements that are dropped by words but hold the page's content; left: the characters outside of them."""
+    out = {x.order for n in named if n.main for x in _ancestors(n) if x.worded}
+    articles = [n for n in named if n.tag == "article" and not n.words & DROPPED_WORDS]
+    plain, holders = {n.order for n in articles}, {x.order for n in articles for x in _ancestors(n)}
+    unsure = {n.order for n in named if n.worded and n.order not in out and not n.words & COMMENT_WORDS and (n.words & CONTENT_WORDS or n.order in holders)}
+    if not unsure:
+        return out
+    own = dict.fromkeys(unsure, 0)
+    for owner, text in parse(page, {n.order for n in named}):
+        article = False
+        for x in _ancestors(owner):
+            article |= x.order in plain
+            if x.worded:
+                if x.order in own and (article or x.words & CONTENT_WORDS):
+                    own[x.order] += len(text)
+                if x.order not in out:
+                    break
+    return out | {k for k, n in own.items() if n > max(left, LITTLE)}
+
+
 def main_text(page: str | None) -> str:
-    blocks = [b for b in parse(page or "") if not b[0].dropped]
+    page, named = page or "", []
+    blocks = [b for b in parse(page, named=named) if not b[0].dropped]
+    worded = [n for n in named if n.worded]
+    if not worded:
+        return _best(blocks)
+    if spared := _spared(page, sum(len(t) for _, t in blocks), named):
+        blocks = [b for b in parse(page, spared) if not b[0].dropped]
+    text = _best(blocks)
+    if len(text) < LITTLE and (others := {n.order for n in worded if not n.words & COMMENT_WORDS} - spared):
+        more = _best([b for b in parse(page, spared | others) if not b[0].dropped])
+        if len(more) >= max(ENOUGH, TIMES * len(text)):
+            return more
+    return text
+
+
+def _best(blocks: list[tuple[Node, str]]) -> str:
+    """The text of the best container among the blocks."""
     if not blocks:
         return ""
     scored: list[Node] = []

@@ -152,6 +152,31 @@ def test_main_text():
     assert html.main_text("<article><p>Short.</p><p>Two</p></article><footer>f</footer>") == "Short. Two"
 
 
+COLUMN = "<p>" + "The first paragraph of it, with commas, is long enough to count. " * 4 + "</p><p>" + "And the second one, too, goes on for a good while. " * 4 + "</p>"
+SIDE = "<div class=sidebar><p>Side text, with, commas, that, is, long, enough, to, count, as, one.</p></div>"
+COMMENTS = "<div id=comments><article class=comment-body><p>" + "Great post, thanks, I liked it, a lot. " * 40 + "</p></article></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content-sidebar-wrap'>{COLUMN}{SIDE}</div><div>A line outside, at the end of the page, of this site.</div>",
+    f"<div class='post hentry comments-open'>{COLUMN}</div>{COMMENTS}",
+    f"<div class='sidebar-layout'><main>{COLUMN}</main>{SIDE}</div>",
+    f"<div class='sidebar-right'><article>{COLUMN}</article></div>{COMMENTS}",
+    f"<div class='hidden-print'>{COLUMN}</div>",
+])
+def test_words_of_wrappers_and_states_drop_no_content(page):
+    assert html.main_text(page) == " ".join(re.sub("<[^>]+>", " ", COLUMN).split())
+
+
+def test_words_still_drop_what_they_name():
+    short = "<div><p>A short text, of one line, is the whole page.</p></div>"
+    assert html.main_text(short + COMMENTS) == "A short text, of one line, is the whole page."
+    assert html.main_text(COMMENTS) == ""
+    related = "<div class=related>" + "<article><p>Another story, teased here, in a line.</p></article>" * 3 + "</div>"
+    for more in (SIDE, COMMENTS, related, "<div class=main-menu>" + "<a href=x>Page, of some name</a> " * 5 + "</div>"):
+        assert html.main_text(f"<div>{COLUMN}</div>{more}") == html.main_text(f"<div>{COLUMN}</div>")
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "<p>" + "deep, text " * 20 + "</p>") == ("deep, text " * 20).strip()
     assert len(html.main_text("<article>" + "<p>" + "word, " * 60_000 + "</p></article>").split()) == 60_000
