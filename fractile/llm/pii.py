@@ -9,7 +9,8 @@ together, one Viterbi step a word position, in numpy. A constant against every
 label but O keeps plain prose unmarked.
 
 Defined cases: a null or empty text has no finding; a repeated row is scanned
-again; very long sentences are decoded whole; other columns are not read.
+again; very long sentences are decoded whole; a run of
+over 8 words that repeats a single word is filler and not reported; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 OWN_KINDS = ("name", "address", "identifier")
 #: Words decoded at once.
 BATCH_WORDS = 400_000
-#: Longer runs of one label are lists, not a name, address or identifier.
+#: Longer runs of one label are reported whole too, unless they repeat a single word.
 MOST_WORDS = 8
 #: Against every label but O, for any word and for words of a shape that training hasn't seen.
 CAUTION = 2.0
@@ -332,7 +333,7 @@ def _spans(text: str, labels: np.ndarray) -> list[Span]:
             end = k + 1
             while end < len(labels) and labels[end] == labels[k] + 1:
                 end += 1
-            if end - k > MOST_WORDS:
+            if end - k > MOST_WORDS and len({text[a:b].strip(".,;:!?()") for a, b in places[k:end]}) == 1:
                 k = end
                 continue
             a, b = places[k][0], places[end - 1][1]

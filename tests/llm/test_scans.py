@@ -120,6 +120,14 @@ def test_field_on_new_sentences():
         assert [(text[a:b], k) for a, b, k in pii.label_texts(field, [text])[0]] == want, text
 
 
+def test_long_addresses_are_reported_whole():
+    long = "12 North Oak Street Apartment 4 Springfield Illinois 62704"
+    text = f"Send it to {long}."
+    filler = "Onou " * 30
+    found = pii.label_texts(pii.train(), [text, filler])
+    assert [(text[a:b], k) for a, b, k in found[0]] == [(long, "address")] and found[1] == []
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
