@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_frames(rows: DataFrame, task: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], key: str, schema: str) -> DataFrame:
+    """mapInPandas with the whole-number column key first, which travels as text: pandas would make the numbers of a batch with a null one doubles, and these hold 53 bits."""
+    out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(task, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast("long"))
+
+
 def drawn(draw: Column, share: float) -> Column:
     """Whether a 64-bit hash falls in the lowest such share of its range."""
     return draw <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))

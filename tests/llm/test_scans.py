@@ -185,6 +185,109 @@ def test_words_still_drop_what_they_name():
         assert html.main_text(f"<div>{COLUMN}</div>{more}") == html.main_text(f"<div>{COLUMN}</div>")
 
 
+def random_page(rng):
+    """A tree of (tag, class, children or text) with its html."""
+    def text(n, links):
+        words = [rng.choice(("lorem", "ipsum,", "dolor.", "sit", "amet")) for _ in range(n)]
+        return " ".join(f"<a href=x>{w}</a>" if rng.random() < links else w for w in words)
+
+    def node(depth):
+        tag = rng.choice(("div", "section", "article", "ul", "table", "div")) if depth else "p"
+        if tag == "p" or rng.random() < 0.2:
+            return ("p", "", text(rng.randrange(1, 60), rng.choice((0, 0, 0.5, 1))))
+        return (tag, rng.choice(("", "", "", "story", "box" if tag == "article" else "ad", "box")), [node(depth - 1) for _ in range(rng.randrange(1, 5))])
+
+    def shown(n):
+        inner = n[2] if isinstance(n[2], str) else "".join(map(shown, n[2]))
+        return f"<{n[0]} class='{n[1]}'>{inner}</{n[0]}>"
+
+    top = [("div", "", [node(3)])] + [node(3) for _ in range(rng.randrange(1, 4))]
+    return top, "<body>" + "".join(map(shown, top)) + "</body>"
+
+
+def plain(x):
+    return " ".join(re.sub("<[^>]+>", "", x).split())
+
+
+def points_by_definition(tree):
+    """The discounted points of every container that isn't in an advert, by recursion from each to its paragraphs."""
+    weights = {"article": 25, "section": 3, "div": 5}
+
+    def below(n, level, out):
+        if isinstance(n[2], str):
+            t = plain(n[2])
+            linked = sum(map(len, re.findall(r"<a[^>]*>([^<]*)</a>", n[2])))
+            yield level, 0 if out or len(t) < 25 else 1 + t.count(",") + min(len(t) / 100, 3), 0 if out else len(t), 0 if out else linked
+            return
+        for c in n[2]:
+            yield from below(c, level + 1, out or c[1] == "ad")
+
+    share = {1: 1.0, 2: 1 / 2, 3: 1 / 6, 4: 1 / 9, 5: 1 / 12}  # by levels between a paragraph and its container
+    found = []
+
+    def walk(n, out):
+        out = out or n[1] == "ad"
+        if n[0] != "p":
+            rows = list(below(n, 0, out))
+            points = weights.get(n[0], 0) + (25 if n[1] == "story" else 0) + sum(share.get(level, 0) * p for level, p, _, _ in rows)
+            chars = sum(c for *_, c, _ in rows)
+            found.append(-25.0 if out else points * (1 - (sum(k for *_, k in rows) / chars if chars else 0)))
+            for c in n[2]:
+                walk(c, out)
+
+    walk(("body", "", tree), False)
+    return found
+
+
+def test_points_follow_their_definition():
+    rng = random.Random(12)
+    changed = 0
+    for _ in range(300):
+        tree, page = random_page(rng)
+        named = []
+        blocks = html.parse(page, named)
+        out = {id(n) for n in named if n.worded}
+        if not all(b.text for b in blocks) or not any(html.prose(b) for b in blocks):
+            continue
+        nodes = {id(x): x for b in blocks for x in html._ancestors(b.owner)}
+        html.score(blocks, out)
+        got = sorted(round(html.worth(x), 6) for x in nodes.values() if x.tag not in ("p", "#root"))
+        assert got == sorted(round(v, 6) for v in points_by_definition(tree))
+        changed += html.main_text(page) != " ".join(b.text for b in blocks)
+    assert changed > 150
+
+
+def test_scores_decide(monkeypatch):
+    """Without points the first container of equal weight would be taken."""
+    pages = [f"<div><p>A line of the site, of some length, here.</p></div><div id=a>{COLUMN}</div>", PAGE, f"<div class=ad>Buy, this, now, today, please.</div><article>{COLUMN}</article>"]
+    want = [html.main_text(p) for p in pages]
+    assert want[0] == plain(COLUMN.replace("</p>", " </p>"))
+    monkeypatch.setattr(html, "prose", lambda b, shortest=25: 0.0)
+    monkeypatch.setattr(html, "TAG_WEIGHT", {})
+    monkeypatch.setattr(html, "WORDS_WEIGHT", 0.0)
+    assert all(html.main_text(p) != w for p, w in zip(pages, want))
+
+
+LONG = "<p>This is a longer paragraph, with commas, and some more text that makes it long enough.</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article>{LONG}<div class='related-work'><p>Earlier work, by several groups, has looked at this.</p></div></article>", plain(LONG) + " Earlier work, by several groups, has looked at this."),
+    (f"<article>{LONG}<div class='warning'>Do not open the case, as there is high voltage inside.</div></article>", plain(LONG) + " Do not open the case, as there is high voltage inside."),
+    (f"<article>{LONG}<div class='notice'>We use cookies, of course, as everybody does.</div></article>", plain(LONG)),
+    (f"<article>{LONG}<div class='related-posts'><a href=x>Another story, of interest, to read</a></div></article>", plain(LONG)),
+    (f"<main><article>{LONG}</article><article>{LONG * 2}</article></main>", " ".join([plain(LONG)] * 3)),
+    (f"<noscript><p>turn it on <div><article>{LONG}</article></div>", plain(LONG)),
+    (f"<template><b>x</b><iframe src=y><article>{LONG}</article>", plain(LONG)),
+    (f"<template><div>not shown, of course, as a template is not</div></template><noscript><p>none</p></noscript><article>{LONG}</article>", plain(LONG)),
+    (f"<article><section>{LONG * 9}</section><section><h2>Head</h2><p>short one</p></section><figure><figcaption>Seen</figcaption></figure></article><div class=box><p>Unmarked box, of text, here.</p></div>", " ".join([plain(LONG)] * 9) + " Head short one Seen"),
+    (f"<table><tr><td><a href=x>Menu one</a> <a href=y>Menu two</a></td><td>{LONG * 2}</td></tr></table>", " ".join([plain(LONG)] * 2)),
+    ("<article><h1>T</h1><p>Short.</p></article><div><p>A box that is longer than the article itself, sure.</p></div>", "T Short."),
+])
+def test_what_is_kept_and_left_out(page, want):
+    assert html.main_text(page) == want
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "<p>" + "deep, text " * 20 + "</p>") == ("deep, text " * 20).strip()
     assert len(html.main_text("<article>" + "<p>" + "word, " * 60_000 + "</p></article>").split()) == 60_000
@@ -193,8 +296,10 @@ def test_deep_and_long_pages():
 def test_extract(spark):
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1), (2, None, "", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    pages = pages.union(spark.createDataFrame([(2**53 + 1, "v", PAGE, 1)], pages.schema)).coalesce(1)
     got = html.extract(pages).collect()
-    assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sorted((r["page_id"] for r in got), key=str) == [1, 1, 2, 2**53 + 1, None]
+    assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(pages.limit(0)).count() == 0
 
 
