@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fractile.llm.common import map_frames
+
 #: start, end (exclusive, in code points), kind
 Span = tuple[int, int, str]
 
@@ -20,8 +22,7 @@ def joined(spans: Sequence[Span], kinds: Sequence[str]) -> str:
 
 
 def scan_documents(docs: DataFrame, base: Callable[[str], list[Span]], own: Callable[[list[str]], list[list[Span]]], base_kinds: Sequence[str], own_kinds: Sequence[str]) -> DataFrame:
-    """doc_id, n_<base kind> ..., base_sha256, spans. Nothing is shuffled; null texts are empty ones and every row gives one row."""
-    names = ["doc_id", *[f"n_{k}" for k in base_kinds], "base_sha256", "spans"]
+    """doc_id, n_<base kind> ..., base_sha256, spans, n_<own kind> ..., n_spans. Nothing is shuffled; null texts are empty ones and every row gives one row."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -30,10 +31,11 @@ def scan_documents(docs: DataFrame, base: Callable[[str], list[Span]], own: Call
             for doc_id, text, more in zip(frame["doc_id"].tolist(), texts, own(texts)):
                 found = base(text)
                 digest = hashlib.sha256(joined(found, base_kinds).encode()).hexdigest()
-                rows.append((doc_id, *[sum(k == s[2] for s in found) for k in base_kinds], digest, joined([*found, *more], [*base_kinds, *own_kinds])))
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                count = lambda spans, kinds: [sum(k == s[2] for s in spans) for k in kinds]
+                rows.append((doc_id, *count(found, base_kinds), digest, joined([*found, *more], [*base_kinds, *own_kinds]), *count(more, own_kinds), len(found) + len(more)))
+            yield pd.DataFrame(rows, columns=names)
 
+    names = ["doc_id", *[f"n_{k}" for k in base_kinds], "base_sha256", "spans", *[f"n_{k}" for k in own_kinds], "n_spans"]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(task, ", ".join(["doc_id long", *[f"n_{k} long" for k in base_kinds], "base_sha256 string", "spans string"]))
+    types = [*[f"n_{k} long" for k in base_kinds], "base_sha256 string", "spans string", *[f"n_{k} long" for k in own_kinds], "n_spans long"]
+    return map_frames(rows, task, "doc_id", ", ".join(types))
