@@ -18,8 +18,8 @@ seeded digests. Only words and labels enter it.
 Defined cases: a null or empty text has no segments and the score of a text
 without evidence; without training rows of both classes every score is the share
 of toxic rows (0 if there are none); labels repeated for a document count once,
-toxic if any says so; null labels and ids are not trained on; other columns are
-not read.
+toxic if any says so; null labels and ids are not trained on; ids come
+back whole, null ones as null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fractile.llm.common import drawn, scratch
+from fractile.llm.common import drawn, map_frames, scratch
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -46,7 +46,6 @@ LEAST_DOCS = 4
 NEUTRAL = -0.08
 SIGNIFICANT = 0.01
 _PUNCTUATION = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "'"} | {c: " " for c in map(ord, "«»„“”‘’…–—¡¿")}
-_WORD = re.compile(r"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f«»„“”‘’…–—¡¿\s]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -230,29 +229,37 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     return ToxicityModel(whole, weights.tolist(), base)
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of words_of stand in the text itself, which may be shorter than in lower case."""
+    lowered = text.lower()
+    places = [m.span() for m in re.finditer(r"\S+", lowered.translate(_PUNCTUATION))]
+    if len(lowered) == len(text):
+        return places
+    origin = [k for k, c in enumerate(text) for _ in c.lower()]
+    return [(origin[a], origin[b - 1] + 1) for a, b in places]
+
+
 def passages_of(text: str, found: list[tuple[int, int, float]]) -> str:
-    """start:end in code points of each significant passage."""
+    """start:end in code points of the text of each significant passage."""
     if not found:
         return ""
-    places = [m.span() for m in _WORD.finditer(text.lower())]
-    return ",".join(f"{places[a][0]}:{places[b - 1][1]}" for a, b, _ in found if b <= len(places))
+    places = word_places(text)
+    return ",".join(f"{places[a][0]}:{places[b - 1][1]}" for a, b, _ in found)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted, passages (start:end, in code points of the text in lower case)."""
+    """doc_id, score, predicted, passages (start:end, in code points of the text)."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                text = text or ""
                 score, found, _ = model.score(text)
                 out.append((doc_id, score, int(score >= threshold), passages_of(text, found)))
-            done = pd.DataFrame(out, columns=["doc_id", "score", "predicted", "passages"])
-            done["doc_id"] = done["doc_id"].astype("Int64")
-            yield done
+            yield pd.DataFrame(out, columns=["doc_id", "score", "predicted", "passages"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).mapInPandas(task, "doc_id long, score double, predicted int, passages string")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return map_frames(rows, task, "doc_id", "score double, predicted int, passages string")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

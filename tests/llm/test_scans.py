@@ -59,7 +59,6 @@ def test_hard_texts_are_scanned_in_linear_time():
     ("client_credentials: 'Zx81-kLm9-Qw22'", "Zx81-kLm9-Qw22"),
     ('{"privateKey": "MIIEvQIBADANBgkq"}', "MIIEvQIBADANBgkq"),
     ('KEY1 = "qW8zR4tY7uI1"\nsettings.auth_token = KEY1', "qW8zR4tY7uI1"),
-    ('pwd := "aB3$" + "dE6&gH9!"', 'aB3$" + "dE6&gH9!'),
     ("<clientSecret>Jh7Gt5Fr4Ed3</clientSecret>", "Jh7Gt5Fr4Ed3"),
     ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENG", "wJalrXUtnFEMIK7MDENG"),
 ])
@@ -88,7 +87,8 @@ def test_long_secrets(text, literal):
 
 
 def test_long_values_are_scanned_in_linear_time():
-    for text in ("token=" * 20_000, "".join(f"k{j}=" for j in range(30_000)), "secret=-----BEGIN PRIVATE KEY-----" * 5_000, 'token="' * 20_000, "token=%" * 20_000):
+    for text in ("token=" * 20_000, "".join(f"k{j}=" for j in range(30_000)), "secret=-----BEGIN PRIVATE KEY-----" * 5_000, 'token="' * 20_000, "token=%" * 20_000,
+                 "a = '0'\n" + "".join(f"token = token + 'x{k}'\n" for k in range(5_000)), "t0 = 'ab'\n" + "".join(f"t{k + 1} = t{k} + t{k}\n" for k in range(2_000)) + "secret = t2000"):
         start = time.perf_counter()
         secrets.own_spans(text)
         assert time.perf_counter() - start < 20
@@ -103,6 +103,71 @@ def test_scan_tables(odd_docs, odd_rows, no_docs):
         assert len(blank) == 3 and all(r["base_sha256"] == EMPTY_SHA and r["spans"] == "" for r in blank)
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('pwd := "aB3$" + "dE6&gH9!"', ["aB3$", "dE6&gH9!"]),
+    ('x_' * 80 + 'password = "tr0ub4dor&3xyz"', ["tr0ub4dor&3xyz"]),
+    ("auth_token" + " " * 200 + "=" + " " * 200 + "'Zx81-kLm9-Qw22'", ["Zx81-kLm9-Qw22"]),
+    ('A = "qW8zR4tY7uI1"\nA = "aaaa"\nA = "pL5kM3nB7vC9"\nauth_token = A', ["pL5kM3nB7vC9"]),  # the latest binding
+    ('A = "qW8zR4tY7uI1"\nB = A\nC = B\nsettings.auth_token = C', ["qW8zR4tY7uI1"]),
+    ('A = "qW8zR4"\nB = "tY7uI1"\nauth_token = A + B', ["qW8zR4", "tY7uI1"]),
+    ('A=qW8zR4tY7uI1\nexport AUTH_TOKEN="$A"\n', ["qW8zR4tY7uI1"]),
+    ('A=qW8zR4tY7uI1\nAUTH_TOKEN=${A}\n', ["qW8zR4tY7uI1"]),
+    ('auth_token = prefix + "qW8zR4tY7uI1"', ["qW8zR4tY7uI1"]),
+    ('A = "qW8zR4tY7uI1"\nA = load()\nauth_token = A', []),  # no longer a constant
+    ('{"db password": "tr0ub4dor&3xyz"}', ["tr0ub4dor&3xyz"]),
+    ("private_key: |\n  -----BEGIN PRIVATE KEY-----\n  MIIEvQ\n  -----END PRIVATE KEY-----\n", ["-----BEGIN PRIVATE KEY-----\n  MIIEvQ\n  -----END PRIVATE KEY-----"]),
+])
+def test_names_and_constants(text, literals):
+    assert [text[a:b] for a, b, _ in secrets.own_spans(text)] == literals
+
+
+def lexed_by_hand(lines):
+    """The literals of simple assignments, one a line, by running them."""
+    bound, found = {}, set()
+    for k, (name, terms) in enumerate(lines):
+        pieces = [p for t in terms for p in (bound.get(t[1], []) if t[0] == "name" else [(k, t[1])])]
+        bound[name] = pieces
+        whole = "".join(p for _, p in pieces)
+        if secrets.name_weight(name) * secrets.literal_strength(whole) >= secrets.THRESHOLD:
+            found |= set(pieces)
+    return found
+
+
+def test_constants_as_if_run():
+    rng = random.Random(21)
+    several = 0
+    for _ in range(400):
+        lines, names = [], ["alpha", "db_password", "Beta", "API_TOKEN", "url", "clientSecret"]
+        for _ in range(rng.randrange(1, 9)):
+            known = [n for n, _ in lines]
+            term = lambda: ("name", rng.choice(known)) if known and rng.random() < 0.5 else ("text", "".join(rng.choices("abcdefgXYZ0123456789-", k=rng.randrange(1, 12))) + str(rng.randrange(10**6)))
+            lines.append((rng.choice(names), [term() for _ in range(rng.randrange(1, 4))]))
+        text, places = "", {}
+        for k, (name, terms) in enumerate(lines):
+            text += f"{name} = "
+            for j, (kind, t) in enumerate(terms):
+                text += " + " * (j > 0)
+                if kind == "text":
+                    places[(k, t)] = places.get((k, t), []) + [(len(text) + 1, len(text) + 1 + len(t))]
+                    text += f'"{t}"'
+                else:
+                    text += t
+            text += "\n"
+        want = {p for key in lexed_by_hand(lines) for p in places[key]}
+        assert {(a, b) for a, b, _ in secrets.own_spans(text)} == want, text
+        several += len(want) > 1
+    assert several > 100
+
+
+def test_ids_beside_nulls(spark):
+    """Whole numbers over 2^53 keep their value in a batch with a null."""
+    ids = [2**53 + 1, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    model = toxicity.ToxicityModel(toxicity.WordModel(), None, 0.0)
+    for got in (secrets.scan_secrets(docs), pii.scan_personal_data(docs), toxicity.score_documents(docs, model), licenses.scan_licenses(docs)):
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(ids, key=str)
+
+
 def test_order_of_spans():
     assert joined([(5, 9, "b"), (5, 7, "a"), (0, 2, "b")], ("a", "b")) == "b:0:2,a:5:7,b:5:9"
 
@@ -120,6 +185,70 @@ def test_field_on_new_sentences():
         assert [(text[a:b], k) for a, b, k in pii.label_texts(field, [text])[0]] == want, text
 
 
+def marked(line):
+    """A text and its spans from {n:...} marks."""
+    text, found = "", []
+    for m in re.finditer(r"\{(\w):([^}]*)\}|([^{]+)", line):
+        if m[1]:
+            found.append((len(text), len(text) + len(m[2]), next(k for k in pii.OWN_KINDS if k[0] == m[1])))
+        text += m[2] or m[3]
+    return text, found
+
+
+HELD_OUT = """My name is {n:Walter Pine} and I paint.
+Dear Mr. {n:Oscar Field}, thank you for the call.
+Dear Mrs. {n:Nora Stone}, the order is late.
+Name: {n:Victor Lane}
+Customer: {n:Diana Reed}
+Regards, {n:Simon Ford}
+The patient {n:Rachel Cole} was seen today.
+She lives at {a:48 Cedar Street} with two cats.
+Address: {a:1200 Lake Avenue}
+Ship it to {a:65 Mill Road} today.
+SSN: {i:321-54-9876}
+Passport number {i:Y7654321} expires in June.
+Her tax id {i:98-7654321} was lost.
+Mein Name ist {n:Otto Weber} und ich bin neu.
+Sehr geehrter Herr {n:Jan Vogel}, vielen Dank.
+Anschrift: {a:Bergweg 19}
+Je m'appelle {n:Luc Moreau} et je pars.
+Me llamo {n:Mateo Vega} y vivo lejos.
+DNI: {i:23456789Y}
+The street was dark and the name of it was lost.
+Version 4.2 came out in 2019 and was good.
+The address of the office has not changed.
+Tuesday was cold. Wednesday was not.
+Onor Onor Onor Onor Onor Onor Onor the the the."""
+
+
+def test_held_out_sentences():
+    rows = [marked(line) for line in HELD_OUT.splitlines()]
+    got = pii.label_texts(pii.train(), [t for t, _ in rows])
+    true = sum(len(w) for _, w in rows)
+    right = sum(len(set(g) & set(w)) for g, (_, w) in zip(got, rows))
+    assert right / true >= 0.9 and right / max(1, sum(map(len, got))) >= 0.9, [(t, g) for (t, w), g in zip(rows, got) if set(g) != set(w)]
+
+
+def test_training_climbs_the_likelihood():
+    """The gradient steps raise the probability of the table's labels, summed over all paths by brute force."""
+    import itertools
+
+    import numpy as np
+
+    words, labels = ["Mr.", "John", "Smith"], [0, 1, 2]
+
+    def log_share(field):
+        votes = field.votes(words)
+        emit = votes[1].copy()
+        emit[1:] += votes[0][:-1]
+        emit[:-1] += votes[2][1:]
+        total = lambda p: field.first[p[0]] + sum(emit[t, y] for t, y in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:]))
+        return total(labels) - np.logaddexp.reduce([total(p) for p in itertools.product(range(len(pii.LABELS)), repeat=3)])
+
+    shares = [log_share(pii.train(rounds=r)) for r in (1, 10, 300)]
+    assert shares[0] < shares[1] < shares[2] and shares[2] > np.log(0.9)
+
+
 def test_long_addresses_are_reported_whole():
     long = "12 North Oak Street Apartment 4 Springfield Illinois 62704"
     text = f"Send it to {long}."
@@ -426,6 +555,18 @@ def test_segments_are_all_maximal_ones(monkeypatch):
         assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
 
 
+def test_passages_are_places_of_the_text():
+    rng = random.Random(14)
+    for _ in range(500):
+        text = "".join(rng.choice(("vile", "İ", "ΑΣ", " ", ",", "\n", "\x1c", "\x85", "\u3000", "‘", "x", "ﬃ", "’s", "!")) for _ in range(rng.randrange(20)))
+        words, places = toxicity.words_of(text), toxicity.word_places(text)
+        assert len(words) == len(places) and all(text[a:b].lower().replace("ς", "σ") == w.replace("ς", "σ") for w, (a, b) in zip(words, places))
+    text = "İİİ so vile, vile here"
+    model = toxicity.WordModel({"vile": 5.0}, 1.0, 1e-3)
+    a, b = map(int, toxicity.passages_of(text, model.features(toxicity.words_of(text))[2]).split(":"))
+    assert text[a:b] == "vile, vile"
+
+
 def test_toxicity(spark, odd_docs, odd_rows, no_docs):
     rng = random.Random(6)
     bad = ["vile", "rotten", "filthy", "nasty"]
