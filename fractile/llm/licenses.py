@@ -99,7 +99,7 @@ def prepared(docs: DataFrame, phrases: dict[str, str], found: list[Template]) ->
     every = pattern("|".join(phrases))
     places = sum((F.regexp_count("s", F.lit(pattern(p))) for p in phrases), F.lit(0)).cast("long")
     rows = rows.withColumn("n_base", F.when(F.expr(" OR ".join(f"contains(s, ' {p} ')" for p in phrases)), places).otherwise(F.lit(0).cast("long")))
-    before_first = F.expr("substring(s, 1, regexp_instr(s, p, 0) - 1)".replace("p,", "'" + every.replace("'", "''") + "',"))
+    before_first = F.regexp_extract("s", "(?s)^(.*?)" + every, 1)
     before_last = F.regexp_extract("s", "(?s)^(.*)" + every, 1)
     has = F.col("n_base") > 0
     vocabulary = F.lit(sorted(set().union(*(t.words for t in found))))
