@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 from fractile.llm.common import SPACE, rejoin, scratch, text_of
 
 SALTS = 64
-_LAST = (1 << 63) - 1
+
+
+def _beyond() -> Column:
+    """One more than the largest doc_id."""
+    return F.lit(str(1 << 63)).cast("decimal(20,0)")
 
 
 def sha256(content: Column) -> Column:
@@ -44,10 +48,10 @@ def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
 
 
 def _merit() -> Column:
-    """More code points first, then the smaller doc_id, as one number that a hash aggregate can hold in place."""
+    """More code points first, then the smaller doc_id, a null one last, as one number that a hash aggregate can hold in place."""
     step = F.lit("1" + "0" * 20).cast("decimal(21,0)")
-    late = F.lit(_LAST).cast("decimal(19,0)") - F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(19,0)")
-    return (F.col("n").cast("decimal(10,0)") * step + late).cast("decimal(38,0)")
+    early = F.coalesce(_beyond() - F.col("doc_id").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (F.col("n").cast("decimal(10,0)") * step + early).cast("decimal(38,0)")
 
 
 def _combine(keyed: DataFrame, salts: int) -> DataFrame:
@@ -56,8 +60,8 @@ def _combine(keyed: DataFrame, salts: int) -> DataFrame:
     salted = keyed.groupBy("digest", "content", salt.alias("salt")).agg(F.max(_merit()).alias("merit"), F.count(F.lit(1)).alias("size"))
     won = salted.groupBy("digest", "content").agg(F.max("merit").alias("merit"), F.sum("size").alias("group_size"))
     step = F.lit("1" + "0" * 20).cast("decimal(21,0)")
-    keep = (F.lit(_LAST).cast("decimal(20,0)") - (F.col("merit") % step)).cast("long")
-    return won.select("digest", "content", F.nullif(keep, F.lit(_LAST)).alias("keep_id"), "group_size")
+    early = F.col("merit") % step
+    return won.select("digest", "content", F.when(early > 0, (_beyond() - early).cast("long")).alias("keep_id"), "group_size")
 
 
 def winners(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame | None]:

@@ -30,6 +30,13 @@ def test_exact_groups(odd_docs, odd_rows):
     assert as_rows(got) == exact_by_hand(odd_rows)
 
 
+def test_exact_groups_of_extreme_ids(spark):
+    ids = [2**63 - 1, -(2**63), 0, None, 2**53 + 1]
+    rows = [(i, t) for k, i in enumerate(ids) for t in ("all", f"own {k}")] + [(None, "end"), (2**63 - 1, "end"), (-(2**63), "longer"), (2**63 - 1, "long er")]
+    got = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(got) == exact_by_hand(rows)
+
+
 def test_weak_digest_changes_nothing(odd_docs, odd_rows):
     weak = exact.exact_groups(odd_docs, digest=lambda c: (F.char_length(c) % 3).cast("string"))
     assert [r[:4] for r in as_rows(weak)] == sorted((r[:4] for r in exact_by_hand(odd_rows)), key=repr)

@@ -459,7 +459,7 @@ def test_licenses(spark, odd_docs, odd_rows, no_docs):
             words = licenses.TEMPLATES[rng.choice(sorted(licenses.TEMPLATES))].split()
             words = [w.upper() if rng.random() < 0.2 else w for w in words if rng.random() > rng.choice((0, 0.1, 0.3))]
             parts.append(rng.choice((" ", ", ", "\n")).join(words))
-        parts.append(rng.choice(["Released under the MIT License.", "cc by cc by", "CC-BY-SA 4.0, Apache  License", "mit licenses", "GNU\nGeneral\nPublic License", "é mit license", ""]))
+        parts.append(rng.choice(["Released under the MIT License.", "cc by cc by", "CC-BY-SA 4.0, Apache  License", "mit licenses", "GNU\nGeneral\nPublic License", "é mit license", "😀😀😀😀 a b mit license", "😀 cc by 😀 cc by", ""]))
         rng.shuffle(parts)
         rows.append((k, rng.choice(("\n\n", "\n \t\n", "\n")).join(parts)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
