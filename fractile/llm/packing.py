@@ -4,9 +4,15 @@ An example is a row of ids; those from `loss_start` on bear loss. A sequence has
 three limits at once: tokens, segments and loss-bearing tokens. The heuristic is
 bin-centric: into the open sequence goes the waiting example that fits whole and
 has the largest dot product between its demands and the room left, both as
-shares of the limits. When none fits whole, the example with the largest dot
-product is cut to the room that is left and its rest waits on. Pieces that fill
-a sequence alone are cut off first.
+shares of the limits. When none fits whole, and for the last segment, examples
+are cut to the room that is left, and the piece with the largest dot product goes
+in; its rest waits on. Examples longer than a sequence open one each time as
+much of them as fits has come; where the loss limit leaves room beside it, ids
+without loss of other examples fill it.
+
+For plain documents the first CONTEXT ids give the model something to predict
+from and bear no loss, as a prompt does; all others do. So text of long documents
+fills a sequence up to the loss limit, and openings of others fill the rest.
 
 Each task packs what it reads and keeps at most WINDOW examples waiting, so
 memory is bounded, nothing is shuffled, and a lost task is redone alike. A
@@ -16,7 +22,7 @@ is cut into sequences of power-of-two lengths, which need no padding.
 Defined cases: a null or empty text is the closing id alone; an added token
 written out in a text is its one id, as the tokenizer file says; a null id stays
 null; repeated rows are packed each; an empty table gives an empty one; other
-columns are not read.
+columns are not read; limits below 1 are refused.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from fractile.llm.common import map_frames, table
+
 WINDOW = 2048
 #: Characters that are encoded at once.
 BATCH_CHARS = 4_000_000
@@ -42,8 +50,16 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 256
-    loss: int = 2048
+    segments: int = 8
+    loss: int = 1984
+
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError(f"limits must be 1 at least: {self}")
+
+
+#: Ids at the beginning of a plain document that bear no loss.
+CONTEXT = 64
 
 
 @dataclass
@@ -53,12 +69,17 @@ class Piece:
     length: int
 
 
+def bearing(piece: Piece, loss_start: int) -> int:
+    """How many ids of a piece bear loss."""
+    return max(0, piece.start + piece.length - max(piece.start, loss_start))
+
+
 class Packer:
     """Packs examples one task's worth at a time; finished sequences go to `done` as lists of pieces."""
 
     def __init__(self, limits: Limits = Limits(), window: int = WINDOW) -> None:
         self.limits, self.window, self.done = limits, window, []
-        self._scale = 1.0 / np.array([limits.tokens, limits.segments, max(1, limits.loss)], float)
+        self._scale = 1.0 / np.array([limits.tokens, limits.segments, limits.loss], float)
         self._n = 0
         self._example = np.zeros(window, np.int64)
         self._start, self._left, self._loss_start = (np.zeros(window, np.int64) for _ in range(3))
@@ -72,9 +93,12 @@ class Packer:
 
     def add(self, example: int, length: int, loss_start: int = 0) -> None:
         start = 0
-        while length - start > (most := self._longest(start, loss_start, self.limits.tokens, self.limits.loss)):
-            alone = [Piece(example, start, most)]
-            self.done.extend([alone] if most == self.limits.tokens else _powers(alone, most))
+        while length - start > (most := min(self.limits.tokens, max(0, loss_start - start) + self.limits.loss)):
+            self._place(Piece(example, start, most), loss_start)
+            if self._room[0] > 0:
+                self._fill()
+            else:
+                self._close()
             start += most
         if length == start:
             return
@@ -85,45 +109,37 @@ class Packer:
         self._n += 1
 
     def finish(self) -> None:
-        while self._n or self._open:
+        while self._n:
             self._fill()
 
-    def _longest(self, start: int, loss_start: int, tokens: int, loss: int) -> int:
-        """How far a piece from start may go within so many tokens and loss-bearing ones; at least one id."""
-        return max(1, min(tokens, max(0, loss_start - start) + loss))
+    def _place(self, piece: Piece, loss_start: int) -> None:
+        self._open.append(piece)
+        self._room -= (piece.length, 1, bearing(piece, loss_start))
 
     def _fill(self) -> None:
-        """Close one sequence, or at the end what is there."""
+        """Put pieces of waiting examples into the open sequence until none fits, and close it."""
         while self._n and self._room[0] > 0 and self._room[1] > 0:
             n = self._n
-            left, start = self._left[:n], self._start[:n]
-            loss = np.clip(start + left - np.maximum(start, self._loss_start[:n]), 0, None)
-            weight = self._room * self._scale * self._scale
-            merit = left * weight[0] + weight[1] + loss * weight[2]
-            fits = (left <= self._room[0]) & (loss <= self._room[2])
-            if fits.any():
-                k = int(np.argmax(np.where(fits, merit, -1.0)))
-                size = int(left[k])
-            else:
-                free = self._room[2] + np.maximum(0, self._loss_start[:n] - start)
-                size_of = np.minimum(np.minimum(left, self._room[0]), free)
-                if not (size_of > 0).any():
+            left = self._left[:n]
+            before = np.maximum(0, self._loss_start[:n] - self._start[:n])  # ids without loss that come first
+            size = np.minimum(left, np.minimum(self._room[0], self._room[2] + before))
+            usable = size == left
+            if self._room[1] == 1 or not usable.any():
+                usable = size > 0
+                if not usable.any():
                     break
-                k = int(np.argmax(np.where(size_of > 0, merit, -1.0)))
-                size = int(size_of[k])
-            begin = int(start[k])
-            self._open.append(Piece(int(self._example[k]), begin, size))
-            bears = max(0, begin + size - max(begin, int(self._loss_start[k])))
-            self._room -= (size, 1, bears)
-            if size == left[k]:
+            weight = self._room * self._scale * self._scale
+            merit = size * weight[0] + weight[1] + np.maximum(0, size - before) * weight[2]
+            k = int(np.argmax(np.where(usable, merit, -1.0)))
+            taken = int(size[k])
+            self._place(Piece(int(self._example[k]), int(self._start[k]), taken), int(self._loss_start[k]))
+            if taken == left[k]:
                 self._n -= 1
                 for a in (self._example, self._start, self._left, self._loss_start):
                     a[k] = a[self._n]
             else:
-                self._start[k] += size
-                self._left[k] -= size
-            if self._room[0] == 0 or self._room[1] == 0:
-                break
+                self._start[k] += taken
+                self._left[k] -= taken
         self._close()
 
     def _close(self) -> None:
@@ -207,7 +223,8 @@ def encode_documents(texts: list[str], path: str, end_id: int = 1) -> list[np.nd
     return [np.array([*encode(t), end_id], dtype="<u4") for t in texts]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
+_NAMES = ["doc_id", *[c.split()[0] for c in PIECES.split(", ")]]
 
 
 def _pack_task(batches: Iterator[list[tuple[object, np.ndarray, int]]], limits: Limits, with_ids: bool) -> Iterator[pd.DataFrame]:
@@ -219,26 +236,24 @@ def _pack_task(batches: Iterator[list[tuple[object, np.ndarray, int]]], limits:
             packer.finish()
         else:
             for doc_id, ids, loss_start in batch:
-                held[count] = (doc_id, ids)
+                held[count] = (doc_id, ids, loss_start)
                 packer.add(count, len(ids), loss_start)
                 count += 1
         rows = []
         for pieces in packer.done:
             offset = 0
             for p in pieces:
-                doc_id, ids = held[p.example]
+                doc_id, ids, loss_start = held[p.example]
                 part = ids[p.start : p.start + p.length].tobytes()
-                rows.append((doc_id, p.start, p.length, zlib.crc32(part), len(ids), sequence, offset, part) if with_ids else (doc_id, p.start, p.length, zlib.crc32(part), len(ids), sequence, offset))
+                row = (doc_id, p.start, p.length, zlib.crc32(part), len(ids), sequence, offset, bearing(p, loss_start))
+                rows.append((*row, part) if with_ids else row)
                 offset += p.length
             sequence += 1
         packer.done = []
         waiting = packer.waiting
         held = {k: v for k, v in held.items() if k in waiting}
         if rows:
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
-            frame = pd.DataFrame(rows, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(rows, columns=[*_NAMES, *["ids"] * with_ids])
 
 
 def _with_end(batches):
@@ -256,21 +271,20 @@ def _slices(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     yield ids[begin:], texts[begin:]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids its ids as little-endian unsigned 32-bit binary. Every id of a document bears loss."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False, context: int = CONTEXT) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss (how many of its ids bear loss), and with with_ids its ids as little-endian unsigned 32-bit binary. The first `context` ids of a document bear no loss."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def batches():
             for frame in frames:
                 texts = ["" if t is None else t for t in frame["text"].tolist()]
-                names = [None if pd.isna(i) else int(i) for i in frame["doc_id"].tolist()]
-                for some, part in _slices(names, texts):
-                    yield [(i, ids, 0) for i, ids in zip(some, encode_documents(part, tokenizer_path, end_id))]
+                for some, part in _slices(frame["doc_id"].tolist(), texts):
+                    yield [(i, ids, context) for i, ids in zip(some, encode_documents(part, tokenizer_path, end_id))]
 
         yield from _pack_task(batches(), limits, with_ids)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInPandas(task, PIECES + ", ids binary" * with_ids)
+    return map_frames(rows, task, "doc_id", PIECES + ", ids binary" * with_ids)
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
@@ -279,11 +293,12 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), with_ids: bool
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def batches():
             for frame in frames:
-                yield [(None if pd.isna(i) else int(i), np.asarray([] if x is None else x, "<u4"), 0 if pd.isna(s) else int(s)) for i, x, s in zip(frame["doc_id"], frame["ids"], frame["loss_start"])]
+                yield [(i, np.asarray([] if x is None else x, "<u4"), 0 if pd.isna(s) else int(s)) for i, x, s in zip(frame["doc_id"], frame["ids"], frame["loss_start"])]
 
         yield from _pack_task(batches(), limits, with_ids)
 
-    return examples.select("doc_id", "ids", "loss_start").mapInPandas(task, PIECES + ", ids binary" * with_ids)
+    rows = examples.select(examples["doc_id"].cast("long").alias("doc_id"), "ids", "loss_start")
+    return map_frames(rows, task, "doc_id", PIECES + ", ids binary" * with_ids)
 
 
 def default_tokenizer() -> str:
@@ -293,6 +308,4 @@ def default_tokenizer() -> str:
 
 
 def query(spark, sf_dir: str, tokenizer: Callable[[], str] = default_tokenizer) -> DataFrame:
-    from fractile.llm.common import table
-
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer())

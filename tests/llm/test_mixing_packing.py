@@ -95,6 +95,75 @@ def test_packer_keeps_limits_and_ids(lengths, segments, loss, rng):
     assert check_sequences(lengths, starts, packer) == 0
 
 
+@pytest.mark.parametrize("field", ["tokens", "segments", "loss"])
+def test_limits_below_one_are_refused(field):
+    with pytest.raises(ValueError):
+        Limits(**{field: 0})
+
+
+def packed_lengths(limits, context=packing.CONTEXT):
+    rng = random.Random(8)
+    lengths = [int(rng.choice((3, 30, 400, 400, 2500)) * rng.uniform(0.5, 1.5)) for _ in range(3000)]
+    packer = Packer(limits)
+    for k, n in enumerate(lengths):
+        packer.add(k, n, context)
+    packer.finish()
+    assert check_sequences(lengths, [context] * len(lengths), packer) == 0
+    return packer.done
+
+
+def test_every_limit_decides_the_packing():
+    ours, tokens_only = packed_lengths(Limits()), packed_lengths(Limits(segments=2048, loss=2048))
+    as_set = lambda done: {tuple((p.example, p.start, p.length) for p in pieces) for pieces in done}
+    assert len(as_set(ours) & as_set(tokens_only)) < 0.5 * len(ours)
+    for other in (Limits(segments=2048), Limits(loss=2048)):
+        assert as_set(ours) != as_set(packed_lengths(other))
+    loss = [sum(packing.bearing(p, packing.CONTEXT) for p in pieces) for pieces in ours]
+    sizes = [sum(p.length for p in pieces) for pieces in ours]
+    assert max(loss) == 1984 and max(map(len, ours)) == 8
+    assert sum(x == 1984 for x in loss) > 0.3 * len(ours) and sum(len(p) == 8 for p in ours) > 0.005 * len(ours)
+    assert 2048 * sizes.count(2048) > 0.95 * sum(sizes)
+
+
+def test_the_piece_with_the_largest_dot_product_goes_in():
+    """By brute force over all waiting examples, at every step."""
+    rng = random.Random(4)
+    limits = Limits(100, 4, 70)
+    for _ in range(200):
+        packer = Packer(limits, window=8)
+        waiting = []
+        for k in range(rng.randrange(1, 8)):
+            n, s = rng.randrange(1, 71), rng.randrange(0, 71)
+            packer.add(k, n, s)
+            waiting.append([k, 0, n, s])
+        packer.finish()
+        room, chosen = [100, 4, 70], []
+        while room[0] and room[1] and waiting:
+            best = None
+            options = []
+            for w in waiting:
+                k, start, n, s = w
+                before = max(0, s - start)
+                size = min(n - start, room[0], room[2] + before)
+                options.append((w, size, size == n - start, size * room[0] / 100**2 + room[1] / 4**2 + max(0, size - before) * room[2] / 70**2))
+            whole = [o for o in options if o[2]]
+            options = [o for o in (whole if whole and room[1] > 1 else options) if o[1] > 0]
+            if not options:
+                break
+            top = max(o[3] for o in options)
+            best = {(o[0][0], o[0][1], o[1]) for o in options if o[3] >= top - 1e-12}
+            chosen.append(best)
+            first = [p for s in packer.done for p in s][len(chosen) - 1]
+            w = next(w for w in waiting if w[0] == first.example)
+            taken = next(o[1] for o in options if o[0] is w) if (first.example, w[1]) in {b[:2] for b in best} else None
+            assert taken is not None, (first, best)
+            room = [room[0] - taken, room[1] - 1, room[2] - max(0, w[1] + taken - max(w[1], w[3]))]
+            w[1] += taken
+            waiting = [w for w in waiting if w[1] < w[2]]
+            if room[0] or taken != first.length:
+                break  # a short sequence is cut again; its first piece is judged
+
+
 def test_pack_documents(odd_docs, odd_rows):
     from tokenizers import Tokenizer
 
@@ -117,6 +186,20 @@ def test_pack_documents(odd_docs, odd_rows):
             assert offset == at
             at += length
         assert at <= 2048
+    sums = defaultdict(lambda: [0, 0])
+    for r in got:
+        assert r["loss"] == max(0, r["start"] + r["length"] - max(r["start"], packing.CONTEXT))
+        sums[r["sequence_id"]][0] += r["loss"]
+        sums[r["sequence_id"]][1] += 1
+    assert max(a for a, _ in sums.values()) <= 1984 and max(b for _, b in sums.values()) <= 8
+
+
+def test_ids_beside_nulls(spark):
+    ids = [2**53 + 1, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    examples = spark.createDataFrame([(i, [1, 2], 1) for i in ids], "doc_id long, ids array<int>, loss_start int").coalesce(1)
+    for got in (packing.pack_documents(docs, packing.default_tokenizer()), packing.pack_examples(examples)):
+        assert sorted({r["doc_id"] for r in got.collect()}, key=str) == sorted(ids, key=str)
 
 
 def test_same_ids_as_the_tokenizers_library():
