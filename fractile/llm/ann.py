@@ -9,15 +9,18 @@ parts, and there all rows are reranked by exact inner products.
 
 Larger norms give larger products, so rows are classified with one more
 component that brings all to the largest norm, and queries with 0 in its place.
-How many parts a query visits is measured on the sample: the fewest that find
-`recall` of the true neighbours.
+How many parts a query visits is measured: for a bounded draw of the queries, as
+far as possible none of the sample that the classifier was fitted on, the true
+neighbours among all rows are found in one scan, and the fewest parts that hold
+`recall` of them are visited. The sample grows with the parts (SAMPLE, or
+SAMPLE_PER_PART rows a part), up to MOST_PARTS.
 
 Parts are dealt in blocks of rows and of queries, so no task gets more than
 BLOCK of either however many rows share a part or are equal.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite
 components, or have another length than most take no part, nor do rows with a
-null vec_id; a vec_id's repeated rows count once, with the best product; ties go
+null vec_id, and queries are held to the rows' length; a vec_id's repeated rows count once, with the best product; ties go
 to the smaller vec_id; an empty table gives an empty result; other columns are
 not read.
 """
@@ -34,11 +37,13 @@ from pyspark.sql import functions as F
 
 from fractile.llm.common import drawn, scratch
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_PER_PART = 8192, 32
+#: Queries whose true neighbours are looked up among all rows, to choose how many parts are visited.
+TESTS = 256
 ROWS_PER_PART = 8192
 LEAST_PARTS, MOST_PARTS = 16, 1024
 BLOCK = 4096
-RECALL = 0.97
+RECALL = 0.95
 NEIGHBOURS = 10
 
 
@@ -54,10 +59,10 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each row by inner product."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -111,7 +116,8 @@ class Router:
         return np.argsort(-logits, axis=1, kind="stable")[:, : self.probes]
 
 
-def train_router(sample: np.ndarray, top: float, parts: int, neighbours: int = 20, recall: float = RECALL) -> Router:
+def train_router(sample: np.ndarray, top: float, parts: int) -> Router:
+    """A router that visits every part; `visit` lets it visit fewer."""
     rows = _extended(sample, top)
     n, d = rows.shape
     parts = max(1, min(parts, 1 << max(0, (n // 8).bit_length() - 1)))
@@ -137,29 +143,64 @@ def train_router(sample: np.ndarray, top: float, parts: int, neighbours: int = 2
             mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
             weights -= 0.02 * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.99**step)) + 1e-8)
             bias -= 0.1 * z.mean(axis=0)
-    router = Router(weights * scale, bias, top, parts)
-    tests = rng.permutation(n)[: min(n, 512)]
-    s = sample[tests] @ sample.T
-    s[np.arange(len(tests)), tests] = -np.inf
-    k = min(neighbours, n - 1)
-    true = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    where = router.part_of(sample)[true]
-    order = router.route(sample[tests])
+    return Router(weights * scale, bias, top, parts)
+
+
+def true_parts(placed: DataFrame, ids: np.ndarray, tests: np.ndarray, k: int) -> pd.DataFrame:
+    """(test, part) of the k nearest rows of each test vector among all rows, found in one scan: a task keeps k rows a test vector."""
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["test", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["test", "vec_id"]).groupby("test").head(k)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            frame = frame.drop_duplicates("vec_id")
+            if not len(frame):
+                continue
+            own, part = frame["vec_id"].to_numpy(), frame["part"].to_numpy()
+            s = tests @ _matrix(frame["vector"]).T
+            s[ids[:, None] == own[None, :]] = -np.inf
+            n = min(k, len(own))
+            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            rows = pd.DataFrame({"test": np.repeat(np.arange(len(ids)), n), "vec_id": own[at].ravel(), "part": part[at].ravel(), "score": np.take_along_axis(s, at, axis=1).ravel()})
+            held = [best(pd.concat([*held, rows[np.isfinite(rows["score"])]]))]
+        yield from held
+
+    near = placed.mapInPandas(task, "test long, vec_id long, part long, score double").groupBy("test", "vec_id").agg(F.max(F.struct("score", "part")).alias("it"))
+    rank = F.row_number().over(Window.partitionBy("test").orderBy(F.desc("it.score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("test", "it.part").toPandas()
+
+
+def visit(router: Router, placed: DataFrame, asked: DataFrame, fitted: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """Sets how many parts the router visits: the fewest that hold that share of the true neighbours of the tests. Gives that number and the share."""
+    draw = F.xxhash64(F.lit(13), "query_id")
+    drawn_rows = asked.groupBy("query_id").agg(F.min("vector").alias("vector")).orderBy(draw, "query_id").limit(4 * TESTS).toPandas()
+    new = ~drawn_rows["query_id"].isin(fitted)
+    tests = pd.concat([drawn_rows[new], drawn_rows[~new]]).head(TESTS) if new.sum() < 16 else drawn_rows[new].head(TESTS)
+    parts = router.weights.shape[1]
+    if not len(tests) or parts == 1:
+        return parts, 1.0
+    x = _matrix(tests["vector"])
+    near = true_parts(placed, tests["query_id"].to_numpy(), x, k)
+    order = router.route(x)
     place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(tests), 0), axis=1)
-    reached = np.take_along_axis(place, where, axis=1)
-    shares = [(reached < m).mean() for m in range(1, parts + 1)]
+    np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
+    reached = place[near["test"].to_numpy(), near["part"].to_numpy()]
+    shares = [(reached < m).mean() if len(reached) else 1.0 for m in range(1, parts + 1)]
     router.probes = next((m for m, r in enumerate(shares, 1) if r >= recall), parts)
-    return router
+    return router.probes, float(shares[router.probes - 1])
 
 
-def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vector of the rows that take part."""
+def valid_vectors(embeddings: DataFrame, length: int | None = None) -> DataFrame:
+    """vec_id, vector of the rows that take part: those of that length, or of the most frequent one."""
     rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast("array<double>").alias("vector")).where("vec_id IS NOT NULL AND size(vector) > 0")
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.where(sound)
-    length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (length["d"] if length else -1))
+    if length is None:
+        most = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        length = most["d"] if most else -1
+    return rows.where(F.size("vector") == length)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -203,28 +244,31 @@ def _nearest(group_rows: pd.DataFrame, group_queries: pd.DataFrame, k: int) -> p
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of embeddings found for each row of queries, its own vec_id left out."""
     rows = scratch(valid_vectors(embeddings), "ann-rows")
-    asked = valid_vectors(queries).select(F.col("vec_id").alias("query_id"), "vector")
-    total, distinct, top = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("vec_id", 0.02), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
+    total, distinct, top, length = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("vec_id", 0.02), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))), F.max(F.size("vector"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
+    asked = valid_vectors(queries, length).select(F.col("vec_id").alias("query_id"), "vector")
+    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << int(np.ceil(np.log2(max(1, total / ROWS_PER_PART))))))
+    sample = max(sample, SAMPLE_PER_PART * parts)
     draw = F.xxhash64(F.lit(11), "vec_id")
     share = min(1.0, 1.5 * sample / max(1, distinct) + 1e-3)
     picked = rows.where(drawn(draw, share)).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(draw, "vec_id").limit(sample).toPandas()  # one row a vec_id, else a row's neighbours are its own repeats
-    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << int(np.ceil(np.log2(max(1, total / ROWS_PER_PART))))))
-    router = train_router(_matrix(picked["vector"]), float(top), parts, k, recall)
+    router = train_router(_matrix(picked["vector"]), float(top), parts)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 yield frame.assign(part=router.part_of(_matrix(frame["vector"])))
 
+    placed = scratch(rows.mapInPandas(place, "vec_id long, vector array<double>, part long"), "ann-placed")
+    visit(router, placed, asked, picked["vec_id"].to_numpy(), k, recall)
+
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 yield frame.assign(parts=list(router.route(_matrix(frame["vector"]))))
 
-    placed = scratch(rows.mapInPandas(place, "vec_id long, vector array<double>, part long"), "ann-placed")
     sent = scratch(asked.mapInPandas(send, "query_id long, vector array<double>, parts array<long>").select("query_id", "vector", F.explode("parts").alias("part")), "ann-sent")
     blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
     sizes = F.broadcast(blocks(placed, "row_blocks").join(blocks(sent, "query_blocks"), "part"))  # at most MOST_PARTS rows

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from fractile.llm import ann
+from fractile.llm.common import scratch
 
 
 def brute(rows, queries, k):
@@ -52,6 +53,42 @@ def test_rows_that_take_no_part(spark):
     assert ann.nearest(table.limit(0), table, 20).count() == 0
 
 
+def test_queries_of_another_length(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)]
+    asked = [(0, [1.0, 2.0, 3.0]), (20, [1.0, 2.0]), (40, [1.0, 2.0]), (60, [1.0, 2.0])]  # most queries are of another length
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(asked, "vec_id long, embedding array<double>"), 5).collect()
+    assert {r["query_id"] for r in got} == {0} and len(got) == 5
+
+
+def test_few_parts_are_visited_where_vectors_cluster(spark):
+    """True neighbours by one scan, and recall by brute force, on queries outside of the sample."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 24))).astype(np.float32).astype(float)
+    rows = [(int(k), row.tolist()) for k, row in enumerate(x)]
+    table = scratch(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vectors")
+    top = float(np.linalg.norm(x, axis=1).max())
+    fitted = np.arange(1, 3000, 2)
+    router = ann.train_router(x[fitted], top, 16)
+    placed = ann.valid_vectors(table).toPandas()
+    placed["part"] = router.part_of(np.stack(placed["vector"].to_list()))
+    frame = scratch(spark.createDataFrame(placed, "vec_id long, vector array<double>, part long").repartition(3), "placed")
+    tests = np.arange(0, 3000, 100)
+    near = ann.true_parts(frame, tests, x[tests], 10)
+    part_of = dict(zip(placed["vec_id"], placed["part"]))
+    want = brute([r for r in rows], [rows[t] for t in tests[:20]], 10)
+    for j, t in enumerate(tests[:20]):
+        assert sorted(near[near["test"] == j]["part"]) == sorted(part_of[v] for v, _ in want[int(t)])
+    asked = ann.valid_vectors(table.where("vec_id % 20 = 0")).withColumnRenamed("vec_id", "query_id")
+    probes, share = ann.visit(router, frame, asked, fitted, 20, 0.95)
+    assert probes <= 4 and share >= 0.95
+    got = ann.nearest(table, table.where("vec_id % 100 = 0"), 20, sample=2000)
+    got = got.groupBy("query_id").agg({"vec_id": "collect_set"}).toPandas()
+    want = brute(rows, [rows[t] for t in tests], 20)
+    hits = sum(len({v for v, _ in want[q]} & set(own)) for q, own in zip(got["query_id"], got.iloc[:, 1]))
+    assert hits / (20 * len(tests)) >= 0.9
+
+
 def test_repeated_rows_leave_room_for_other_ids():
     rng = np.random.default_rng(4)
     x = rng.normal(size=8) + 0.2 * rng.normal(size=(60, 8))
