@@ -16,8 +16,13 @@ blocks of the others. Pairs that may be linked are not listed; a block only says
 how its documents hang together by such pairs (a spanning forest), and documents
 that hang together form a region. Regions are then compared on full sets, again
 largest component against the others in blocks, and only links are given out. So
-no link between components is lost, documents that are known to be together
-aren't compared again, and no step gives out more rows than it gets. A pair at
+no link between components is lost and documents that are known to be together
+aren't compared again. Results are never more than the documents. What is dealt to
+blocks is: a key (or region) of n documents that stay in several components sends
+each of them to about n / BLOCK blocks, so a key under which a large share of all
+documents falls without hanging together costs quadratic time, in many tasks that
+are each bounded. Blocks and chunks of long documents hold fewer, so that the
+texts of one have about GROUP_CHARS characters at most, or are two documents. A pair at
 the threshold shares no key with a probability of (1 - 0.8^ROWS)^BANDS, 3 in a
 million; the estimate loses one below 1 in ten million.
 
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fractile.llm.common import BROADCAST_ROWS, rejoin, scratch
+from fractile.llm.common import BROADCAST_ROWS, map_frames, rejoin, scratch
 from fractile.llm.components import components
 
 ROWS, BANDS, BITS = 5, 32, 4
@@ -52,6 +57,8 @@ BLOCK, FULL_BLOCK = 512, 256
 #: Pairs that one copy of a shared document's text serves, and about how many rows small groups are put together to.
 CHUNK, TOGETHER = 128, 2000
 BATCH_CHARS = 2_000_000
+#: Characters of the texts that a group of Python rows holds, and that groups are put together to.
+GROUP_CHARS = 32_000_000
 
 _MULTIPLY, _ADD = (np.random.default_rng(20240229).integers(0, 2**63, (2, K, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -155,23 +162,21 @@ def _estimate_column(a: str, b: str):
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands, sig."""
+    """doc_id, n_shingles, n_chars, digest of the set, bands, sig."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, own in zip(frame["doc_id"].tolist(), shingle_sets(frame["text"].tolist(), width)):
+            for doc_id, text, own in zip(frame["doc_id"], frame["text"], shingle_sets(frame["text"].tolist(), width)):
                 if len(own):
                     least = minima(own)
-                    rows.append((doc_id, len(own), xxhash.xxh128_digest(own.tobytes()), band_keys(least), packed(least)))
+                    rows.append((doc_id, len(own), len(text), xxhash.xxh128_digest(own.tobytes()), band_keys(least), packed(least)))
                 else:
-                    rows.append((doc_id, 0, None, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands", "sig"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((doc_id, 0, len(text), None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "n_chars", "digest", "bands", "sig"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(task, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>")
+    return map_frames(rows, task, "doc_id", "n_shingles long, n_chars long, digest binary, bands array<long>, sig array<long>")
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,8 +188,9 @@ def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.join(texts, "doc")
 
 
-def _batches(rows: int) -> int:
-    return max(1, -(-rows // TOGETHER))
+def _batches(rows: int, chars: int = 0) -> int:
+    """How many batches so many rows, and so many characters of texts, are dealt to."""
+    return max(1, -(-rows // TOGETHER), -(-chars // GROUP_CHARS))
 
 
 def _groups(frame: pd.DataFrame, *names: str) -> Iterator[pd.DataFrame]:
@@ -204,12 +210,14 @@ def _links(found: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """pairs (a, b, n: about how many pairs a has) whose full sets are linked. A document with many pairs meets them in chunks, its text copied once a chunk."""
-    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK).cast("long")))
+    """pairs (a, b, n: about how many pairs a has, chars: of b's text) whose full sets are linked. A document with many pairs, or with long ones, meets them in chunks, its text copied once a chunk."""
+    per_chunk = F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(F.lit(GROUP_CHARS) / F.col("chars")))).cast("long")
+    chars = pairs.agg(F.sum("chars")).first()[0] or 0
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_chunk).cast("long")))
     wanted = pairs.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("head"))
     wanted = wanted.union(pairs.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("head")).distinct())
     wanted = scratch(wanted, "near-wanted")
-    rows = _with_texts(wanted, docs).withColumn("batch", F.pmod(F.xxhash64("a", "chunk"), F.lit(_batches(8 * wanted.count()))))
+    rows = _with_texts(wanted, docs).withColumn("batch", F.pmod(F.xxhash64("a", "chunk"), F.lit(_batches(8 * wanted.count(), 2 * chars))))
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -224,19 +232,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> Data
     return rows.groupBy("batch").applyInPandas(task, "a long, b long")
 
 
-def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int) -> DataFrame:
-    """rows (key, doc) dealt to the blocks in which each pair of different components under a key meets: key, comp, kind, i, j and side are added. The largest component's blocks meet those of the others, and these each other; keys with one component are left out."""
+def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int, with_texts: bool = False) -> DataFrame:
+    """rows (key, doc, chars) dealt to the blocks in which each pair of different components under a key meets: key, comp, kind, i, j and side are added. The largest component's blocks meet those of the others, and these each other; keys with one component are left out. Blocks whose texts will be read hold fewer documents where these are long."""
     placed = rows.join(comp_of, rows["doc"] == comp_of["node"], "left").drop("node").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     placed = scratch(placed, "near-placed")
-    sizes = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"))
-    sizes = sizes.groupBy(key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    sizes = scratch(sizes.select(key, F.col("top.comp").alias("largest"), F.col("top.k").alias("n_big"), (F.col("total") - F.col("top.k")).alias("n_rest")), "near-mixed")
-    total = sizes.agg(F.sum(F.col("n_big") + F.col("n_rest"))).first()[0] or 0
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("long")
+    sizes = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"), F.max("chars").alias("longest"), F.sum("chars").alias("chars"))
+    sizes = sizes.groupBy(key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.max("longest").alias("longest"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    per_block = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(GROUP_CHARS // 2) / F.col("longest")))).cast("long") if with_texts else F.lit(block).cast("long")
+    sizes = scratch(sizes.select(key, F.col("top.comp").alias("largest"), F.col("top.k").alias("n_big"), (F.col("total") - F.col("top.k")).alias("n_rest"), "chars", per_block.alias("per_block")), "near-mixed")
+    total, chars = sizes.agg(F.sum(F.col("n_big") + F.col("n_rest")), F.sum("chars")).first()
+    total, chars = total or 0, (chars or 0) * with_texts
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.col("per_block"))).cast("long")
     deal = lambda n: F.pmod(F.xxhash64("doc"), blocks(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
     left = placed.join(sizes, key)
-    keep = [key, "doc", "comp", F.pmod(F.xxhash64(key), F.lit(_batches(total))).alias("batch")]
+    keep = [key, "doc", "comp", F.pmod(F.xxhash64(key), F.lit(_batches(total, chars))).alias("batch")]
     big = left.where("comp = largest").select(*keep, F.lit("x").alias("kind"), deal("n_big").alias("i"), each("n_rest").alias("j"), F.lit(0).alias("side"))
     rest = left.where("comp <> largest").withColumn("own", deal("n_rest"))
     across = rest.select(*keep, F.lit("x").alias("kind"), each("n_big").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
@@ -296,7 +306,8 @@ def _regions(rows: DataFrame, reps: DataFrame, comp_of: DataFrame, least: float)
 
     blocks = _blocks(rows, comp_of, "bucket", BLOCK).join(reps.select("doc", "sig"), "doc")
     forest = blocks.groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
-    return components(forest).select(F.col("node").alias("doc"), F.col("component").alias("region"))
+    regions = components(forest).select(F.col("node").alias("doc"), F.col("component").alias("region"))
+    return regions.join(reps.select("doc", "chars"), "doc")
 
 
 def _across(regions: DataFrame, reps: DataFrame, comp_of: DataFrame, docs: DataFrame, similarity: Similarity, least: float) -> DataFrame:
@@ -318,7 +329,7 @@ def _across(regions: DataFrame, reps: DataFrame, comp_of: DataFrame, docs: DataF
                     found.append((doc[x], doc[y]))
         return _links(found)
 
-    blocks = scratch(_blocks(regions, comp_of, "region", FULL_BLOCK).join(reps.select("doc", "sig"), "doc"), "near-blocks")
+    blocks = scratch(_blocks(regions, comp_of, "region", FULL_BLOCK, True).join(reps.select("doc", "sig"), "doc"), "near-blocks")
     return _with_texts(blocks, docs).groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
 
 
@@ -328,24 +339,24 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> D
     sketch = scratch(sketches(docs, similarity.shingle), "near-sketches")
     classes = scratch(sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")
     reps = classes.select(F.col("rep").alias("doc"), F.col("digest").alias("of"))
-    reps = sketch.join(reps, (sketch["doc_id"] == F.col("doc")) & (sketch["digest"] == F.col("of"))).select("doc", "bands", "sig").dropDuplicates(["doc", "sig"])
+    reps = sketch.join(reps, (sketch["doc_id"] == F.col("doc")) & (sketch["digest"] == F.col("of"))).select("doc", F.col("n_chars").alias("chars"), "bands", "sig").dropDuplicates(["doc", "sig"])
     reps = scratch(reps, "near-reps")
-    keyed = reps.select("doc", F.explode("bands").alias("bucket"))
+    keyed = reps.select("doc", "chars", F.explode("bands").alias("bucket"))
     shared = scratch(keyed.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
-    member = scratch(keyed.join(shared, "bucket"), "near-members")
+    member = scratch(rejoin(keyed, shared, "bucket", "n", "doc"), "near-members")
 
     # A pivot with many documents is copied once for each BLOCK of them.
     copies = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("long")
-    star = member.where("doc <> pivot").groupBy("pivot", "doc").agg(F.max("n").alias("n")).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("n")))
+    star = member.where("doc <> pivot").groupBy("pivot", "doc").agg(F.max("n").alias("n"), F.max("chars").alias("chars")).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("n")))
     star = star.join(reps.select("doc", F.col("sig").alias("s")), "doc")
     pivots = shared.groupBy("pivot").agg(F.max("n").alias("m")).join(reps.select(F.col("doc").alias("pivot"), F.col("sig").alias("t")), "pivot")
     pivots = pivots.select("pivot", "t", F.explode(F.sequence(F.lit(0).cast("long"), copies("m") - 1)).alias("copy"))
     star = star.join(pivots, ["pivot", "copy"]).where(corrected(_estimate_column("s", "t")) >= least)
-    star = scratch(star.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "n"), "near-star")
+    star = scratch(star.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "n", "chars"), "near-star")
     links = scratch(confirmed(star, docs, similarity), "near-links")
 
     comp = components(links)
-    regions = _regions(member.select("bucket", "doc"), reps, comp, least)
+    regions = _regions(member.select("bucket", "doc", "chars"), reps, comp, least)
     if not regions.isEmpty():
         added = scratch(_across(regions, reps, comp, docs, similarity, least), "near-links-across")
         if not added.isEmpty():

@@ -113,6 +113,22 @@ def test_near_copies_that_link_only_through_others(spark, monkeypatch):
     assert as_rows(neardup.near_duplicates(docs, neardup.Similarity(2))) == near_by_hand(rows, 2)
 
 
+def test_long_texts_come_in_small_groups(spark, monkeypatch):
+    """Groups are bounded by characters: a limit of two documents' length changes no link."""
+    monkeypatch.setattr(neardup, "GROUP_CHARS", 1500)
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for d in range(60):
+        own = list(base)
+        for k in rng.sample(range(90), rng.randrange(0, 9)):
+            own[k] = f"x{rng.randrange(10**6)}"
+        rows.append((d if d else 2**53 + 1, " ".join(own)))
+    rows.append((None, " ".join(base)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), neardup.Similarity(2))
+    assert as_rows(got) == near_by_hand(rows, 2)
+
+
 def test_drop_near_copies(odd_docs, odd_rows):
     got = neardup.drop_near_copies(odd_docs)
     kept = [r[0] for r in near_by_hand(odd_rows, 5) if r[3]]
