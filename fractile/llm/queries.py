@@ -6,8 +6,6 @@ from fractile.llm import ann, exact, html, licenses, mixing, neardup, packing, p
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
     return {
         "op1_packing": packing.query,
         "op2_minhash": neardup.query,
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_licenses": licenses.query,
         "op9_exact_dedup": exact.query,
         "op10_toxicity": toxicity.query,
-        "pipeline": run,
     }
 
 

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 
-from fractile.llm import ann
+from fractile.llm import ann, mixing, packing, toxicity
 from fractile.llm.common import scratch
 
 
@@ -122,24 +122,49 @@ def test_parts_are_balanced():
 
 
 def test_pipeline(spark):
+    """Each stage's rows against a plain computation over what it was given."""
+    from collections import Counter
+
     import corpus_pipeline as p
+    from tests.llm.test_dedup import exact_by_hand, near_by_hand
 
     sf = "/root/testdata/sf0.001"
     assert [k for k, _ in p.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-        if name != "mixing":
-            assert out.count() <= docs.count() and out.exceptAll(docs).isEmpty()
-        docs = out
-    got = p.run(spark, sf)
-    assert got.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 2048
+    stages = dict(p.STAGES)
+    rows = lambda df: [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.train_on(spark, docs, sf)).collect()}
+    out = scratch(stages["toxicity"](spark, docs, sf), "t1")
+    assert out.columns == docs.columns and {r[0] for r in rows(out)} == {d for d, s in scores.items() if s < toxicity.THRESHOLD}
+
+    given, out = rows(out), scratch(stages["exact_dedup"](spark, out, sf), "t2")
+    assert out.columns == docs.columns and sorted(r[0] for r in rows(out)) == sorted(r[0] for r in exact_by_hand(given) if r[3])
+
+    given, out = rows(out), scratch(stages["near_dedup"](spark, out, sf), "t3")
+    assert out.columns == docs.columns and sorted(r[0] for r in rows(out)) == sorted(r[0] for r in near_by_hand(given, 5) if r[3])
+
+    given, due = rows(out), {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(out).collect()}
+    out = scratch(stages["mixing"](spark, out, sf), "t4")
+    copies = Counter(r[0] for r in rows(out))
+    assert out.columns == docs.columns and set(copies) <= {r[0] for r in given} and max(copies.values()) <= 2
+    partly = [d for d, (taken, size) in due.items() if size and taken % size]  # a source's boundary document, whole or not
+    assert all(copies[d] * size == taken for d, (taken, size) in due.items() if d not in partly and size) and len(partly) <= len({r[2] for r in given})
+
+    given, got = rows(out), stages["packing"](spark, out, sf).collect()
+    encoded = {d: len(packing.encode_documents([t or ""], packing.default_tokenizer())[0]) for d, t, _ in given}
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+    assert total == {d: n * copies[d] for d, n in encoded.items()}
+
+    ran = p.run(spark, sf)
+    assert ran.count() == len(got) and ran.columns == list(stages["packing"](spark, out, sf).columns)
 
 
 def test_queries_import_and_match_their_sql_names():
     from fractile.llm.queries import oracle_sql, queries
 
     names = list(queries())
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len(names) == 10 and all(n.startswith("op") for n in names)
     assert set(oracle_sql()) <= set(names)
