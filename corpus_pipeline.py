@@ -9,7 +9,7 @@ and packed.
 from __future__ import annotations
 
 from fractile.llm import exact, mixing, neardup, packing, toxicity
-from fractile.llm.common import scratch_root, table
+from fractile.llm.common import scratch, table
 
 
 def toxic(spark, docs, sf_dir):
@@ -39,15 +39,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over documents, each but the last written to the shared folder and read again."""
-    import uuid
-
+    """The stages over documents, each but the last written to the shared folder and read again; the folders are deleted when the process ends."""
     docs = table(spark, sf_dir, "documents")
-    home = f"{scratch_root(spark)}/fractile/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return out
-        out.write.parquet(f"{home}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{home}/{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
