@@ -63,7 +63,7 @@ def filter_ids(spark, a):
 
 
 def make_queries(spark, a):
-    store.save(q.to_frame(spark, q.generate(a.n_percentiles, a.operators, a.n_references, tuple(a.bounds), a.seed)), a.output)
+    store.save(q.generated(spark, a.n_percentiles, a.operators, a.n_references, tuple(a.bounds), a.seed), a.output)
 
 
 def run_queries(spark, a):
@@ -71,6 +71,7 @@ def run_queries(spark, a):
     given: dict = {"hist_filter": store.load(spark, a.hist_filter) if a.hist_filter else None}
     if a.type in ("index", "exact"):
         given["index"], given["clusters"], given["members"], given["method"] = store.load_index(spark, a.index)
+        given["outliers"] = store.load_outliers(spark, a.index)
     if a.type in ("rebinned_hists", "conversion_matrices"):
         given["members"], given["clusters"] = store.load(spark, f"{a.clustering}/members"), store.load(spark, f"{a.clustering}/clusters")
     if a.type in ("histograms", "rebinned_hists", "conversion_matrices", "exact"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fractile.plans.store import checkpointed
+
 KEYS = ["query_id", "hist_id"]
 
 
@@ -22,9 +24,20 @@ def random_ids(hists: DataFrame, selectivity: float, seed: int = 42) -> DataFram
     """Exactly floor(n * selectivity) ids, those with the smallest seeded digests; ties are broken by id."""
     if not 0 < selectivity <= 1:
         raise ValueError("selectivity must be over 0 and at most 1")
-    n = hists.count()
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("hist_id").cast("string")))
-    return hists.select("hist_id").orderBy(draw, "hist_id").limit(int(n * selectivity))
+    rows = checkpointed(hists.select("hist_id", draw.alias("draw")), "draws")
+    bucket = F.substring("draw", 1, 3)
+    sizes = sorted((r["b"], r["count"]) for r in rows.groupBy(bucket.alias("b")).count().collect())  # 4,096 rows at most
+    left = int(sum(n for _, n in sizes) * selectivity)
+    for b, n in sizes:
+        if n > left:
+            break
+        left -= n
+    else:
+        return rows.select("hist_id")
+    # Ranges below that one are taken whole; only its own rows are ordered.
+    inside = rows.where(bucket == b).orderBy("draw", "hist_id").limit(left)
+    return rows.where(bucket < b).unionByName(inside).select("hist_id")
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:

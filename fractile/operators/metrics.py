@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fractile.plans.store import small
+from fractile.plans.store import checkpointed, small
 
 KEYS = ["query_id", "hist_id"]
 
@@ -66,7 +66,21 @@ def index_differences(a: DataFrame, b: DataFrame, tolerance4: int = 0) -> DataFr
 
 
 def skyline(rows: DataFrame, more: str, less: str) -> DataFrame:
-    """Rows that no other beats in one of `more` (larger is better) and `less` (smaller is better) without being worse in the other."""
-    a, b = rows.alias("a"), rows.alias("b")
-    m, n, x, y = F.col(f"a.{more}"), F.col(f"b.{more}"), F.col(f"a.{less}"), F.col(f"b.{less}")
-    return a.join(b, (n >= m) & (y <= x) & ((n > m) | (y < x)), "left_anti")
+    """Rows that no other beats in one of `more` (larger is better) and `less` (smaller is better) without being worse in the other.
+
+    A row is beaten by the best `less` among rows with a larger `more`, or with
+    an equal one and less itself. Rows are ranked by `more` in ranges; what the
+    ranges above hold is one number a range.
+    """
+    best = rows.groupBy(more).agg(F.min(less).alias("__best"))  # of equal `more`, only the least `less` can stay
+    parts = checkpointed(best.repartitionByRange(F.desc(more)).withColumn("__part", F.spark_partition_id()), "skyline")
+    above, so_far = [], None
+    for r in parts.groupBy("__part").agg(F.min("__best").alias("m")).orderBy("__part").collect():  # a row a range
+        above += [F.lit(r["__part"]), F.lit(so_far).cast(best.schema["__best"].dataType)]
+        so_far = r["m"] if so_far is None else so_far if r["m"] is None else min(so_far, r["m"])
+    if not above:
+        return rows
+    before = F.min("__best").over(Window.partitionBy("__part").orderBy(F.desc(more)).rowsBetween(Window.unboundedPreceding, -1))
+    lead = F.least(before, F.element_at(F.create_map(*above), F.col("__part")))
+    stay = parts.withColumn("__lead", lead).where(F.col("__lead").isNull() | (F.col("__best") < F.col("__lead"))).select(F.col(more).alias("__more"), "__best")
+    return rows.join(small(stay), (rows[more] == F.col("__more")) & (rows[less] == F.col("__best"))).select(*rows.columns)

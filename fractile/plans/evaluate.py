@@ -92,16 +92,57 @@ def routes(clusters: DataFrame, queries: DataFrame, method: str = "rebinning", i
     return rows.select("query_id", "cluster_id", kind.alias("kind"), variant.alias("variant"), bin_no.alias("bin_no"), bound.alias("bound4"), lower.alias("lower"))
 
 
-def probe(index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "rebinning", index_mode: str = "recall") -> DataFrame:
-    """E4: an equi-join of routes and index with the percentile bound, and all members of clusters that match whole."""
-    asked = routes(clusters, queries, method, index_mode)
-    search = small(asked.where("kind = 'search'").drop("kind"))
+#: Routes, and terms of a predicate, up to which a probe's bounds are written into the plan.
+LITERAL_ROUTES, LITERAL_TERMS = 20_000, 256
+
+
+def pruned(index: DataFrame, search: DataFrame) -> DataFrame:
+    """The index rows that some route may ask for, by predicates on literals that reach the scan: its clusters prune folders; variant, bin and percentile bounds prune by file statistics. All rows where routes are many."""
+    rows = search.groupBy("cluster_id", "variant", "bin_no", "lower").agg(F.min("bound4").alias("low"), F.max("bound4").alias("high")).limit(LITERAL_ROUTES + 1).collect()
+    if len(rows) > LITERAL_ROUTES:
+        return index
+    if not rows:
+        return index.where(F.lit(False))
+    clusters, bins, bounds = set(), {}, {}
+    for r in rows:
+        clusters.add(r["cluster_id"])
+        bins.setdefault(r["variant"], set()).add(r["bin_no"])
+        key = (r["variant"], r["bin_no"], r["lower"])
+        bound = r["low"] if r["lower"] else r["high"]
+        bounds[key] = bound if key not in bounds else (min if r["lower"] else max)(bound, bounds[key])
+    if len(bounds) <= LITERAL_TERMS:
+        terms = [(F.col("variant") == v) & (F.col("bin_no") == b) & (F.col("pctl4") >= F.lit(x).cast("smallint") if low else F.col("pctl4") <= F.lit(x).cast("smallint")) for (v, b, low), x in sorted(bounds.items())]
+    else:
+        terms = [(F.col("variant") == v) & F.col("bin_no").between(min(own), max(own)) for v, own in sorted(bins.items())]
+    while len(terms) > 1:  # a balanced tree, as a deep one costs the planner
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2 :]
+    return index.where(F.col("cluster_id").isin(sorted(clusters)) & terms[0])
+
+
+def _hits(index: DataFrame, members: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """Members that routes find, with the routes' columns in more."""
+    asked = checkpointed(asked, "routes")
+    search = asked.where("kind = 'search'").drop("kind")
     hit = F.when(F.col("lower"), F.col("pctl4") >= F.col("bound4")).otherwise(F.col("pctl4") <= F.col("bound4"))
-    found = index.join(search, ["cluster_id", "variant", "bin_no"]).where(hit).select("query_id", "hist_id")
-    whole = members.join(small(asked.where("kind = 'all'").select("query_id", "cluster_id")), "cluster_id").select("query_id", "hist_id")
+    found = pruned(index, search).join(small(search), ["cluster_id", "variant", "bin_no"]).where(hit).select("query_id", "hist_id", *more)
+    whole = members.join(small(asked.where("kind = 'all'").select("query_id", "cluster_id", *more)), "cluster_id").select("query_id", "hist_id", *more)
     return found.unionByName(whole)
 
 
+def probe(index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "rebinning", index_mode: str = "recall", outliers: DataFrame | None = None) -> DataFrame:
+    """E4: an equi-join of routes and index with the percentile bound, and all members of clusters that match whole. Outliers, histograms beside the index, are scanned."""
+    found = _hits(index, members, routes(clusters, queries, method, index_mode))
+    return found if outliers is None else found.unionByName(scan(outliers, queries))
+
+
+def trace(index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "rebinning", index_mode: str = "recall") -> DataFrame:
+    """(query_id, n_none, n_all, n_search, n_results): how many clusters a query passes by, takes whole and searches, and what it finds."""
+    asked = checkpointed(routes(clusters, queries, method, index_mode), "routes")
+    kinds = asked.groupBy("query_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in ("none", "all", "search")])
+    found = probe(index, clusters, members, queries, method, index_mode).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return kinds.join(found, "query_id", "left").na.fill(0, ["n_results"])
+
+
 def normal(dists: DataFrame, queries: DataFrame) -> DataFrame:
     """E5: columns taken for normal distributions (hist_id, mean, std)."""
     rows = dists.crossJoin(small(queries))
@@ -122,18 +163,26 @@ def binsort_scan(table: DataFrame, queries: DataFrame, index_mode: str = "recall
     return rows.where(hit).select("query_id", "hist_id").distinct()
 
 
+def bounded(index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "conversion") -> DataFrame:
+    """(query_id, hist_id, sure) in one reading of the index: what it can't exclude, and whether it is sure of it."""
+    asked = routes(clusters, queries, method, "precision").withColumn("is_sure", F.lit(1))
+    asked = asked.unionByName(routes(clusters, queries, method, "recall").withColumn("is_sure", F.lit(0)))
+    rows = _hits(index, members, asked, "is_sure").groupBy("query_id", "hist_id").agg(F.max("is_sure").alias("sure"))
+    return checkpointed(rows, "bounded")
+
+
 def exact(hists: DataFrame, index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "conversion", mode: str = "over", edge_compat: bool = True) -> DataFrame:
     """E7: what the index is sure of, and the scan of what it only can't exclude."""
-    sure = checkpointed(probe(index, clusters, members, queries, method, "precision"), "sure")
-    open_ = probe(index, clusters, members, queries, method, "recall").join(sure, ["query_id", "hist_id"], "left_anti")
-    return sure.unionByName(scan_pairs(hists, queries, open_, mode, edge_compat))
+    rows = bounded(index, clusters, members, queries, method)
+    open_ = rows.where("sure = 0").select("query_id", "hist_id")
+    return rows.where("sure = 1").select("query_id", "hist_id").unionByName(scan_pairs(hists, queries, open_, mode, edge_compat))
 
 
 def exact_binsort(table: DataFrame, index: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, method: str = "conversion") -> DataFrame:
     """E7 with E6 for the open pairs."""
-    sure = checkpointed(probe(index, clusters, members, queries, method, "precision"), "sure")
-    open_ = probe(index, clusters, members, queries, method, "recall").join(sure, ["query_id", "hist_id"], "left_anti")
-    return sure.unionByName(binsort_scan(table, queries, "recall").join(open_, ["query_id", "hist_id"], "left_semi"))
+    rows = bounded(index, clusters, members, queries, method)
+    open_ = rows.where("sure = 0").select("query_id", "hist_id")
+    return rows.where("sure = 1").select("query_id", "hist_id").unionByName(binsort_scan(table, queries, "recall").join(open_, ["query_id", "hist_id"], "left_semi"))
 
 
 def reduction(sure: DataFrame, maybe: DataFrame, n_hists: int) -> DataFrame:
@@ -142,9 +191,10 @@ def reduction(sure: DataFrame, maybe: DataFrame, n_hists: int) -> DataFrame:
     return open_.select("query_id", (1 - F.col("count") / n_hists).alias("reduction"))
 
 
-def run(queries: DataFrame, input_type: str, *, hists: DataFrame | None = None, members: DataFrame | None = None, clusters: DataFrame | None = None, index: DataFrame | None = None, dists: DataFrame | None = None, sorted_bins: DataFrame | None = None, method: str = "rebinning", estimation_mode: str = "over", index_mode: str = "recall", hist_filter: DataFrame | None = None, edge_compat: bool = True) -> DataFrame:
+def run(queries: DataFrame, input_type: str, *, hists: DataFrame | None = None, members: DataFrame | None = None, clusters: DataFrame | None = None, index: DataFrame | None = None, dists: DataFrame | None = None, sorted_bins: DataFrame | None = None, method: str = "rebinning", estimation_mode: str = "over", index_mode: str = "recall", hist_filter: DataFrame | None = None, outliers: DataFrame | None = None, edge_compat: bool = True) -> DataFrame:
     """One entry for all evaluators; hist_filter (hist_id) is applied to all of them."""
     kept = (lambda df: keep_ids(df, hist_filter)) if hist_filter is not None else (lambda df: df)
+    beside = None if outliers is None else kept(outliers)
     if input_type == "histograms":
         return scan(kept(hists), queries, estimation_mode, edge_compat)
     if input_type == "rebinned_hists":
@@ -154,11 +204,12 @@ def run(queries: DataFrame, input_type: str, *, hists: DataFrame | None = None,
     if input_type == "conversion_matrices":
         return scan_conversion(kept(hists), members, clusters, queries, estimation_mode)
     if input_type == "index":
-        return probe(kept(index), clusters, kept(members), queries, method, index_mode)
+        return probe(kept(index), clusters, kept(members), queries, method, index_mode, beside)
     if input_type == "normal_dists":
         return normal(kept(dists), queries)
     if input_type == "binsort":
         return binsort_scan(kept(sorted_bins), queries, index_mode)
     if input_type == "exact":
-        return exact(kept(hists), kept(index), clusters, kept(members), queries, method, estimation_mode, edge_compat)
+        found = exact(kept(hists), kept(index), clusters, kept(members), queries, method, estimation_mode, edge_compat)
+        return found if beside is None else found.unionByName(scan(beside, queries, estimation_mode, edge_compat))
     raise ValueError(f"unknown input type: {input_type}")

@@ -328,12 +328,17 @@ def test_boolean_and_column_filters(spark):
         filters.random_ids(every, 0.0)
 
 
-def test_queries():
+def test_queries(spark):
     assert q.parse(["0.5", "lt", "50"]) == q.PercentileQuery(0.5, "lt", 50.0)
     for bad in (["0", "lt", "1"], ["1.1", "gt", "1"], ["0.5", "eq", "1"], ["0.5", "lt"], ["x", "lt", "1"]):
         with pytest.raises(ValueError):
             q.parse(bad)
     made = q.generate(20, ("gt", "lt"), 10, (-5, 5), 42)
+    with_session = q.generated(spark, 20, ("gt", "lt"), 10, (-5, 5), 42).orderBy("query_id").collect()
+    assert [tuple(r)[1:] for r in with_session] == [(x.percentile, x.op, x.reference) for x in made]
+    texts = ["0.5 lt 50", " 1  ge -2.5 ", "0 lt 1", "1.1 gt 1", "0.5 eq 1", "0.5 lt", "x lt 1", "0.5 lt y", "", "0.5 lt 1 2"]
+    read = q.parsed(spark.createDataFrame([(t,) for t in texts], "said string")).collect()
+    assert [r["valid"] for r in read] == [True, True] + [False] * 8 and tuple(read[1])[1:4] == (1.0, "ge", -2.5)
     assert len(made) == 400 and made == q.generate(20, ("gt", "lt"), 10, (-5, 5), 42)
     assert made[0].percentile == 0.05 and made[-1].percentile == 1.0 and all(-5 <= x.reference <= 5 for x in made)
 
@@ -373,14 +378,72 @@ def test_store_and_streaming(spark, random_hists, tmp_path):
     hists.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(hists.schema).option("maxFilesPerTrigger", 1).parquet(source)
     incremental.grow(stream, clusters, path, str(tmp_path / "check"), "conversion").awaitTermination()
-    rows, own = incremental.grown(spark, path)
-    assert own.count() == hists.count() == own.select("hist_id").distinct().count()
+    rows, own, beside = incremental.grown(spark, path)
+    assert beside.isEmpty() and own.count() == hists.count() == own.select("hist_id").distinct().count()
     truth = as_set(evaluate.scan(hists, asked))
     assert as_set(evaluate.probe(rows, clusters, own, asked, "conversion", "precision")) <= truth <= as_set(evaluate.probe(rows, clusters, own, asked, "conversion", "recall"))
+    whole, _, every, _ = store.load_index(spark, path)
+    assert whole.count() == index.count() + rows.count() and every.count() == 2 * hists.count()
     gone = hists.where("hist_id < 100").select("hist_id")
     assert incremental.without_ids(own, gone).count() == 50
 
 
+def test_growth_beyond_the_clusters_ranges(spark, tmp_path):
+    """Histograms that reach beyond every cluster give the scan's answers in all modes."""
+    from fractile.streaming import incremental
+
+    schema = "hist_id long, edges array<double>, counts array<long>, total long"
+    old = spark.createDataFrame([(k, [0.0 + k, 5.0, 10.0], [3, 7], 10) for k in range(4)], schema)
+    members = old.select(F.lit(0).alias("cluster_id"), "hist_id")
+    clusters = store.checkpointed(clustering.cluster_edges(old, members, 12), "clusters")
+    path = str(tmp_path / "index")
+    store.save_index(create_index(old, members, clusters, "conversion"), clusters, members, path, "conversion")
+    new = spark.createDataFrame([(10, [5.0, 12.0, 20.0], [5, 5], 10), (11, [-4.0, 3.0], [6], 6), (12, [1.0, 2.0, 9.0], [1, 1], 2), (13, [30.0, 31.0], [1], 1)], schema)
+    new.write.parquet(str(tmp_path / "new"))
+    incremental.grow(spark.readStream.schema(schema).parquet(str(tmp_path / "new")), clusters, path, str(tmp_path / "check")).awaitTermination()
+    asked = q.to_frame(spark, [q.PercentileQuery(p, op, r) for p in (0.3, 0.9) for op in OPS for r in (-5.0, -1.5, 4.3, 11.0, 15.2, 25.0, 40.0)])
+    index, c, m, method = store.load_index(spark, path)
+    beside = store.load_outliers(spark, path)
+    assert {r["hist_id"] for r in beside.collect()} == {10, 11, 13}
+    every = old.unionByName(new)
+    truth = as_set(evaluate.scan(every, asked))
+    found = lambda mode: as_set(evaluate.run(asked, "index", index=index, clusters=c, members=m, method=method, index_mode=mode, outliers=beside))
+    assert found("precision") <= truth <= found("recall")
+    assert as_set(evaluate.run(asked, "exact", hists=every, index=index, clusters=c, members=m, method=method, outliers=beside)) == truth
+
+
+def test_a_probe_reads_what_it_asks_for(spark, random_hists, tmp_path, capsys):
+    hists, _ = random_hists
+    members = hists.select(F.pmod("hist_id", F.lit(3)).cast("int").alias("cluster_id"), "hist_id")
+    clusters = store.checkpointed(clustering.cluster_edges(hists, members, 90), "clusters")
+    path = str(tmp_path / "index")
+    store.save_index(create_index(hists, members, clusters, "rebinning"), clusters, members, path, "rebinning")
+    index, c, m, method = store.load_index(spark, path)
+    asked = q.to_frame(spark, [q.PercentileQuery(0.8, "lt", 4.21)])
+    evaluate.probe(index, c, m, asked, method).explain("formatted")
+    plan = capsys.readouterr().out
+    scan = plan[plan.index("PartitionFilters") :]
+    assert "cluster_id" in scan.splitlines()[0] and " IN (" in scan.splitlines()[0] or "In(cluster_id" in plan
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters") and "pctl4" in line)
+    assert "GreaterThanOrEqual(pctl4" in pushed and "EqualTo(bin_no" in pushed and "EqualTo(variant,rebin)" in pushed
+    many = q.to_frame(spark, q.generate(10, OPS, 60, (-10, 30), 3))
+    for mode in ("recall", "precision"):  # beyond the limits of literals too
+        want = as_set(evaluate.probe(index, c, m, many, method, mode))
+        for routes, terms in ((evaluate.LITERAL_ROUTES, 2), (3, 2)):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(evaluate, "LITERAL_ROUTES", routes)
+                patch.setattr(evaluate, "LITERAL_TERMS", terms)
+                assert as_set(evaluate.probe(index, c, m, many, method, mode)) == want
+
+
+def test_skyline_against_all_pairs(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 40, 300):
+        rows = [(k, rng.randrange(12) / 2, rng.randrange(12)) for k in range(n)]
+        got = {r["k"] for r in metrics.skyline(spark.createDataFrame(rows, "k int, a double, b int").repartition(3), "a", "b").collect()}
+        assert got == {k for k, a, b in rows if not any(x >= a and y <= b and (x > a or y < b) for _, x, y in rows)}
+
+
 def test_files_and_logs(spark, tmp_path):
     from fractile.sources import files
 
@@ -390,14 +453,21 @@ def test_files_and_logs(spark, tmp_path):
     (tmp_path / "csv" / "bad.csv").write_text("")
     errors = files.csv_to_parquet(spark, str(tmp_path / "csv"), str(tmp_path / "pq"))
     assert all("bad.csv" in r["file"] for r in errors.collect())
+    (tmp_path / "pq" / "no.parquet").write_text("not one")
+    import pandas as pd
+
+    for k in range(30):  # of one schema, with a name that is written otherwise in paths
+        pd.DataFrame({"v": [float(k)]}).to_parquet(tmp_path / "pq" / f"a +{k} %.parquet")
     values, failed = files.read_collection(spark, str(tmp_path / "pq"))
+    assert [r["file"].endswith("no.parquet") for r in failed.collect()] == [True]
+    assert as_set(values) >= {(f"a +{k} %", "v", float(k)) for k in range(30)}
     assert as_set(values) >= {("one", "a", 1.0), ("one", "b", 3.5), ("two", "v", 30.0)}
     (tmp_path / "h.json").write_text('{"hist_id": 1, "edges": [0, 1, 2], "counts": [3, 4]}\n')
     assert files.read_histograms(spark, str(tmp_path / "h.json")).first()["total"] == 7
     log = tmp_path / "x.log"
     log.write_text("t | INFO | hello\nt | TRACE | query_time, 0.5\nt | TRACE | query_time, 0.7\nt | TRACE | query_collection_time, 1.5\nt | TRACE | query_collection_time, 2.5\nplain\n")
     assert files.logs_long(spark, str(log)).count() == 4 and files.logs_times(spark, str(log)) == [1.5, 2.5]
-    with pytest.raises(Exception, match="Duplicate"):
+    with pytest.raises(Exception, match="more than one line"):
         files.logs_wide(spark, str(log)).collect()
     log.write_text("t | TRACE | query_time, 0.5\nt | TRACE | query_time, 0.7\nt | TRACE | size, 3\n")
     assert {r["metric"]: r["values"] for r in files.logs_wide(spark, str(log)).collect()} == {"query_time": [0.5, 0.7], "size": [3.0]}
