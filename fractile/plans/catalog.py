@@ -21,7 +21,6 @@ from fractile.plans.store import checkpointed, index_size, spread
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 N_BINS = 200
 OFF_EDGE = [q.PercentileQuery(p, op, r) for p in (0.1, 0.35, 0.8) for op in q.OPERATORS for r in (0.0333, 24.4567, 31234.5678)]
-GENERATED = q.generate(4, ("gt", "lt"), 5, (-10.0, 10.0), 42)
 STRATA_QUERIES = q.generate(10, q.OPERATORS, 12, (-20.0, 60.0), 7)
 ON_EDGE = [q.PercentileQuery(p, op, r) for p in (0.2, 0.5, 0.9) for op in q.OPERATORS for r in (1.0, 10.0, 25.0, 50.0)]
 
@@ -197,10 +196,6 @@ def _binsort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binsort(collection(spark, sf_dir)).select("hist_id", "edge", *[F.col(c).cast("int").alias(c) for c in ("pre4", "mid4", "post4")])
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.to_frame(spark, GENERATED)
-
-
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     hists = checkpointed(collection(spark, sf_dir), "hists")
     asked = q.to_frame(spark, STRATA_QUERIES)
@@ -368,7 +363,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boolean_composition": _boolean,
         "metrics_accuracy": _accuracy,
         "metrics_queries": _query_metrics,
-        "queries_generated": _generated,
         "queries_strata": _strata,
         "analysis_top_groups": _top_groups,
         "analysis_skyline": _skyline,
@@ -422,8 +416,6 @@ SELECT variant, first_gap, last_gap, first_gap <= 1 AND last_gap <= 1 AS sound,
 n AS (SELECT query_id, CASE WHEN x < 0.1 THEN 'low' WHEN x > 0.1 AND x < 0.9 THEN 'mid' WHEN x > 0.9 THEN 'high' END AS stratum FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || query_id::VARCHAR), query_id) AS k FROM n WHERE stratum IS NOT NULL)
 SELECT query_id::BIGINT AS query_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY query_id) <= 3 THEN 'validation' ELSE 'test' END AS part FROM r WHERE k <= 8""",
-        "queries_generated": f"SELECT query_id::BIGINT AS query_id, percentile, op, reference FROM (VALUES {_rows(GENERATED)}) AS t(query_id, percentile, op, reference)",
-        "e3_conversion": found(_e4("conversion", "recall")),
         "e4_conversion_recall": found(_e4("conversion", "recall")),
         "e4_conversion_precision": found(_e4("conversion", "precision")),
         "e4_prefiltered": found(_e4("conversion", "recall", f"hist_id IN ({drawn})")),
