@@ -153,7 +153,7 @@ def test_estimates_follow_similarity():
         assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.15
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1200)] + [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(200)] + [(7, 7), (9000, 9000)]
     up = {x: x for e in edges for x in e}
@@ -166,6 +166,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: top(x) for x in linked}
+    for few in (0, 150, 100_000):  # by rounds alone, by rounds and one task, by one task
+        monkeypatch.setattr("fractile.llm.components.FEW", few)
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: top(x) for x in linked}
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
