@@ -56,6 +56,8 @@ MARGIN = 0.18
 BLOCK, FULL_BLOCK = 512, 256
 #: Pairs that one copy of a shared document's text serves, and about how many rows small groups are put together to.
 CHUNK, TOGETHER = 128, 2000
+#: Batches that one task takes where they are more than Spark's partitions would hold.
+BATCHES_A_TASK = 8
 BATCH_CHARS = 2_000_000
 #: Characters of the texts that a group of Python rows holds, and that groups are put together to.
 GROUP_CHARS = 32_000_000
@@ -193,6 +195,14 @@ def _batches(rows: int, chars: int = 0) -> int:
     return max(1, -(-rows // TOGETHER), -(-chars // GROUP_CHARS))
 
 
+def _over_tasks(rows: DataFrame, batches: int, *keys: str) -> DataFrame:
+    """rows partitioned by keys into tasks of about BATCHES_A_TASK batches, where Spark's own number of partitions is too small for that."""
+    tasks = -(-batches // BATCHES_A_TASK)
+    if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows
+    return rows.repartition(tasks, *keys)
+
+
 def _groups(frame: pd.DataFrame, *names: str) -> Iterator[pd.DataFrame]:
     """The groups of a frame that holds many small ones."""
     frame = frame.sort_values(list(names), kind="stable", ignore_index=True)
@@ -217,7 +227,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> Data
     wanted = pairs.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("head"))
     wanted = wanted.union(pairs.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("head")).distinct())
     wanted = scratch(wanted, "near-wanted")
-    rows = _with_texts(wanted, docs).withColumn("batch", F.pmod(F.xxhash64("a", "chunk"), F.lit(_batches(8 * wanted.count(), 2 * chars))))
+    batches = _batches(8 * wanted.count(), 2 * chars)
+    rows = _with_texts(wanted, docs).withColumn("batch", F.pmod(F.xxhash64("a", "chunk"), F.lit(batches)))
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -229,11 +240,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: Similarity) -> Data
             found += [(a, d) for d, s, h in zip(group["doc"].tolist(), sets, is_head) if not h and any(similarity.linked(x, s) for x in heads)]
         return _links(found)
 
-    return rows.groupBy("batch").applyInPandas(task, "a long, b long")
+    return _over_tasks(rows, batches, "batch").groupBy("batch").applyInPandas(task, "a long, b long")
 
 
-def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int, with_texts: bool = False) -> DataFrame:
-    """rows (key, doc, chars) dealt to the blocks in which each pair of different components under a key meets: key, comp, kind, i, j and side are added. The largest component's blocks meet those of the others, and these each other; keys with one component are left out. Blocks whose texts will be read hold fewer documents where these are long."""
+def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int, with_texts: bool = False) -> tuple[DataFrame, int]:
+    """rows (key, doc, chars) dealt to the blocks in which each pair of different components under a key meets, and the number of batches: key, comp, batch, kind, i, j and side are added. The largest component's blocks meet those of the others, and these each other; keys with one component are left out. Blocks whose texts will be read hold fewer documents where these are long."""
     placed = rows.join(comp_of, rows["doc"] == comp_of["node"], "left").drop("node").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     placed = scratch(placed, "near-placed")
     sizes = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"), F.max("chars").alias("longest"), F.sum("chars").alias("chars"))
@@ -241,18 +252,18 @@ def _blocks(rows: DataFrame, comp_of: DataFrame, key: str, block: int, with_text
     per_block = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(GROUP_CHARS // 2) / F.col("longest")))).cast("long") if with_texts else F.lit(block).cast("long")
     sizes = scratch(sizes.select(key, F.col("top.comp").alias("largest"), F.col("top.k").alias("n_big"), (F.col("total") - F.col("top.k")).alias("n_rest"), "chars", per_block.alias("per_block")), "near-mixed")
     total, chars = sizes.agg(F.sum(F.col("n_big") + F.col("n_rest")), F.sum("chars")).first()
-    total, chars = total or 0, (chars or 0) * with_texts
+    batches = _batches(total or 0, (chars or 0) * with_texts)
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.col("per_block"))).cast("long")
     deal = lambda n: F.pmod(F.xxhash64("doc"), blocks(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
     left = placed.join(sizes, key)
-    keep = [key, "doc", "comp", F.pmod(F.xxhash64(key), F.lit(_batches(total, chars))).alias("batch")]
+    keep = [key, "doc", "comp", F.pmod(F.xxhash64(key), F.lit(batches)).alias("batch")]
     big = left.where("comp = largest").select(*keep, F.lit("x").alias("kind"), deal("n_big").alias("i"), each("n_rest").alias("j"), F.lit(0).alias("side"))
     rest = left.where("comp <> largest").withColumn("own", deal("n_rest"))
     across = rest.select(*keep, F.lit("x").alias("kind"), each("n_big").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
     among = rest.select(*keep, "own", each("n_rest").alias("other"))
     among = among.select(key, "doc", "comp", "batch", F.lit("r").alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return big.union(across).union(among)
+    return big.union(across).union(among), batches
 
 
 class _Sets:
@@ -304,7 +315,8 @@ def _regions(rows: DataFrame, reps: DataFrame, comp_of: DataFrame, least: float)
                 found += [(x, y) for x, y in zip(doc[a].tolist(), doc[b].tolist()) if sets.join(x, y)]
         return _links(found)
 
-    blocks = _blocks(rows, comp_of, "bucket", BLOCK).join(reps.select("doc", "sig"), "doc")
+    blocks, batches = _blocks(rows, comp_of, "bucket", BLOCK)
+    blocks = _over_tasks(blocks.join(reps.select("doc", "sig"), "doc"), batches, "batch", "kind", "i", "j")
     forest = blocks.groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
     regions = components(forest).select(F.col("node").alias("doc"), F.col("component").alias("region"))
     return regions.join(reps.select("doc", "chars"), "doc")
@@ -329,8 +341,10 @@ def _across(regions: DataFrame, reps: DataFrame, comp_of: DataFrame, docs: DataF
                     found.append((doc[x], doc[y]))
         return _links(found)
 
-    blocks = scratch(_blocks(regions, comp_of, "region", FULL_BLOCK, True).join(reps.select("doc", "sig"), "doc"), "near-blocks")
-    return _with_texts(blocks, docs).groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
+    blocks, batches = _blocks(regions, comp_of, "region", FULL_BLOCK, True)
+    blocks = scratch(blocks.join(reps.select("doc", "sig"), "doc"), "near-blocks")
+    rows = _over_tasks(_with_texts(blocks, docs), batches, "batch", "kind", "i", "j")
+    return rows.groupBy("batch", "kind", "i", "j").applyInPandas(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:

@@ -99,6 +99,8 @@ def test_near_copies_that_link_only_through_others(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "FULL_BLOCK", 4)
     monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "TOGETHER", 16)
+    monkeypatch.setattr(neardup, "BATCHES_A_TASK", 1)
     rng = random.Random(9)
     base = [f"b{k}" for k in range(80)]
     rows = []
