@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fractile.functions.spline import share_below
+
 #: Decimals that values, edges and percentiles are rounded to.
 PRECISION = 4
 SCALE = 10_000.0
@@ -39,14 +41,14 @@ def edges_upto(edges: Column, x: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
-def mass(edges: Column, counts: Column, cum: Column, op: Column, ref: Column, mode: str, edge_compat: bool = True) -> Column:
-    """How much of a histogram may (over), must (under) or on linear share does (continuous_value) satisfy `value op ref`.
+def mass(edges: Column, counts: Column, cum: Column, op: Column, ref: Column, mode: str, edge_compat: bool = True, spline: Column | None = None) -> Column:
+    """How much of a histogram may (over), must (under), or on a linear share (continuous_value) or a fitted spline's (cubic_spline) does satisfy `value op ref`.
 
     With edge_compat a reference that equals a bin's upper edge counts that bin
-    twice for lt and le in the modes over and continuous_value, as the engine
+    twice for lt and le in all modes but under, as the engine
     that this one replaces does; without it, once.
     """
-    if mode not in ("over", "under", "continuous_value"):
+    if mode not in ("over", "under", "continuous_value", "cubic_spline"):
         raise ValueError(f"unknown estimation mode: {mode}")
     total = F.element_at(cum, -1)
     k = edges_below(edges, ref)
@@ -55,8 +57,12 @@ def mass(edges: Column, counts: Column, cum: Column, op: Column, ref: Column, mo
     own = at(counts, i)
     on_edge = F.get(edges, k) == ref
     low, high = F.get(edges, i), F.get(edges, k)
-    inside_low = {"over": own, "under": F.lit(0), "continuous_value": own * ((ref - low) / (high - low))}[mode]
-    inside_high = {"over": own, "under": F.lit(0), "continuous_value": own * ((high - ref) / (high - low))}[mode]
+    if mode == "cubic_spline":
+        below = share_below(spline, edges, counts, i, ref)
+        inside_low, inside_high = own * below, own * (1 - below)
+    else:
+        inside_low = {"over": own, "under": F.lit(0), "continuous_value": own * ((ref - low) / (high - low))}[mode]
+        inside_high = {"over": own, "under": F.lit(0), "continuous_value": own * ((high - ref) / (high - low))}[mode]
     edge_low = own
     if mode == "over":
         edge_low = own + F.when((op == "le") & (k < n - 1), at(counts, k)).otherwise(0)
@@ -77,13 +83,14 @@ def satisfied(part: Column, total: Column, percentile: Column, mode: str, edge_c
     return round4(part / total) >= bound
 
 
-def distribution(edges: Column, counts: Column, cum: Column, x: Column) -> Column:
-    """The share of a histogram below x if values spread evenly within bins."""
+def distribution(edges: Column, counts: Column, cum: Column, x: Column, spline: Column | None = None) -> Column:
+    """The share of a histogram below x if values spread evenly within bins, or as a fitted spline says."""
     total = F.element_at(cum, -1)
     k = edges_below(edges, x)
     i = k - 1
     low, high = F.get(edges, i), F.get(edges, k)
-    inside = (at(cum, i) + at(counts, i) * ((x - low) / (high - low))) / total
+    below = (x - low) / (high - low) if spline is None else share_below(spline, edges, counts, i, x)
+    inside = (at(cum, i) + at(counts, i) * below) / total
     return F.when(k == 0, F.lit(0.0)).when(k == F.size(edges), F.lit(1.0)).otherwise(inside)
 
 

@@ -1,88 +1,64 @@
-"""Clamped cubic splines through bin middles, in numpy batches."""
+"""Clamped cubic splines through bin middles: fitted once a histogram in numpy batches, integrated by column expressions."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def clamped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes at the knots of the cubic spline through (x, y) that starts and ends flat."""
-    n = len(x)
-    if n == 2:
-        return np.zeros(2)
-    h, rise = np.diff(x), np.diff(y) / np.diff(x)
-    low, main, high = h[1:].copy(), 2 * (h[:-1] + h[1:]), h[:-1].copy()
-    right = 3 * (h[1:] * rise[:-1] + h[:-1] * rise[1:])
-    for k in range(1, n - 2):
-        f = low[k] / main[k - 1]
-        main[k] -= f * high[k - 1]
-        right[k] -= f * right[k - 1]
-    slopes = np.zeros(n)
-    for k in range(n - 3, -1, -1):
-        slopes[k + 1] = (right[k] - high[k] * slopes[k + 2]) / main[k]
-    return slopes
-
-
-def integral(x: np.ndarray, y: np.ndarray, slopes: np.ndarray, a: float, b: float) -> float:
-    """Of the spline from a to b, both within the knots."""
-
-    def upto(v: float) -> float:
-        k = min(max(int(np.searchsorted(x, v, "right")) - 1, 0), len(x) - 2)
-        h = np.diff(x)
-        whole = (h * (y[:-1] + y[1:]) / 2 + h**2 * (slopes[:-1] - slopes[1:]) / 12)[:k].sum()
-        t, w = (v - x[k]) / h[k], h[k]
-        part = y[k] * (t - t**3 + t**4 / 2) + y[k + 1] * (t**3 - t**4 / 2) + w * slopes[k] * (t**2 / 2 - 2 * t**3 / 3 + t**4 / 4) + w * slopes[k + 1] * (t**4 / 4 - t**3 / 3)
-        return whole + w * part
-
-    return upto(b) - upto(a)
-
-
-def spline_of(edges, values) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e, v = np.asarray(edges, float), np.asarray(values, float)
-    x, y = np.r_[e[0], (e[:-1] + e[1:]) / 2, e[-1]], np.r_[0.0, v, 0.0]
-    return x, y, clamped(x, y)
-
-
-def spline_share(edges, values, k: int, a: float, b: float) -> float:
-    """The share of bin k's mass between a and b."""
-    s = spline_of(edges, values)
-    return integral(*s, a, b) / integral(*s, float(edges[k]), float(edges[k + 1]))
-
-
-@F.pandas_udf(T.DoubleType())
-def spline_mass(edges: pd.Series, counts: pd.Series, op: pd.Series, ref: pd.Series, edge_compat: pd.Series) -> pd.Series:
-    """Like histogram.mass in the mode cubic_spline."""
-    out = []
-    for e, v, o, r, compat in zip(edges, counts, op, ref, edge_compat):
-        e, v = np.asarray(e, float), np.asarray(v, float)
-        i = int(np.searchsorted(e, r, "left")) - 1
-        lower = o in ("lt", "le")
-        if i < 0 or i == len(e) - 1:
-            out.append(float(v.sum()) if (i < 0) != lower else 0.0)
-        elif e[i + 1] == r:
-            out.append(float(v[: i + 1].sum() + (v[i] if compat else 0.0)) if lower else float(v[i + 1 :].sum()))
-        elif lower:
-            out.append(float(v[:i].sum() + v[i] * spline_share(e, v, i, e[i], r)))
-        else:
-            out.append(float(v[i + 1 :].sum() + v[i] * spline_share(e, v, i, r, e[i + 1])))
-    return pd.Series(out, dtype=float)
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def spline_rebinned(edges: pd.Series, counts: pd.Series, new_edges: pd.Series) -> pd.Series:
-    """Each bin's mass dealt to new bins by the spline's shares."""
-    out = []
-    for e, v, new in zip(edges, counts, new_edges):
-        e, v, new = (np.asarray(a, float) for a in (e, v, new))
-        s, given = spline_of(e, v), np.zeros(max(0, len(new) - 1))
-        for k in np.flatnonzero(v):
-            whole = integral(*s, e[k], e[k + 1])
-            for j in range(len(given)):
-                a, b = max(new[j], e[k]), min(new[j + 1], e[k + 1])
-                if b > a:
-                    given[j] += v[k] * integral(*s, a, b) / whole
-        out.append(given.tolist())
-    return pd.Series(out)
+PARTS = ("knots", "values", "slopes", "upto")
+
+
+def fit(edges: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of histograms with equally many bins, one a row: the knots (first edge, bin middles, last edge), the spline's values and slopes there, both 0 at the ends, and its integral up to them."""
+    x = np.hstack([edges[:, :1], (edges[:, :-1] + edges[:, 1:]) / 2, edges[:, -1:]])
+    y = np.pad(counts, ((0, 0), (1, 1)))
+    h, slopes = np.diff(x), np.zeros(x.shape)
+    rise = np.diff(y) / h
+    main, right = 2 * (h[:, :-1] + h[:, 1:]), 3 * (h[:, 1:] * rise[:, :-1] + h[:, :-1] * rise[:, 1:])
+    inner = main.shape[1]
+    for k in range(1, inner):  # equal second derivatives at inner knots, solved for all rows at once
+        f = h[:, k + 1] / main[:, k - 1]
+        main[:, k] -= f * h[:, k - 1]
+        right[:, k] -= f * right[:, k - 1]
+    for k in range(inner - 1, -1, -1):
+        slopes[:, k + 1] = (right[:, k] - h[:, k] * slopes[:, k + 2]) / main[:, k]
+    pieces = h * (y[:, :-1] + y[:, 1:]) / 2 + h**2 * (slopes[:, :-1] - slopes[:, 1:]) / 12
+    return x, y, slopes, np.pad(np.cumsum(pieces, axis=1), ((0, 0), (1, 0)))
+
+
+@F.pandas_udf(T.StructType([T.StructField(p, T.ArrayType(T.DoubleType())) for p in PARTS]))
+def _fitted(edges: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    out = {p: np.empty(len(edges), object) for p in PARTS}
+    n_bins = counts.map(len).to_numpy()
+    for n in np.unique(n_bins):
+        rows = np.flatnonzero(n_bins == n)
+        found = fit(np.stack(edges.iloc[rows].to_list()).astype(float), np.stack(counts.iloc[rows].to_list()).astype(float))
+        for p, values in zip(PARTS, found):
+            for r, v in zip(rows, values):
+                out[p][r] = v
+    return pd.DataFrame(out)
+
+
+def with_spline(hists: DataFrame) -> DataFrame:
+    """With the fitted spline of each histogram in a column of that name."""
+    return hists.withColumn("spline", _fitted("edges", "counts"))
+
+
+def _integral(spline: Column, s: Column, x: Column) -> Column:
+    """From the first knot to x, which lies between knots s and s + 1."""
+    get = lambda p, k: F.get(spline[p], k)
+    w = get("knots", s + 1) - get("knots", s)
+    t = (x - get("knots", s)) / w
+    ends = get("values", s) * (t - t * t * t + t * t * t * t / 2) + get("values", s + 1) * (t * t * t - t * t * t * t / 2)
+    bends = get("slopes", s) * (t * t / 2 - 2 * t * t * t / 3 + t * t * t * t / 4) + get("slopes", s + 1) * (t * t * t * t / 4 - t * t * t / 3)
+    return get("upto", s) + w * (ends + w * bends)
+
+
+def share_below(spline: Column, edges: Column, counts: Column, i: Column, x: Column) -> Column:
+    """The share of bin i's mass that the spline puts below x, a place in the bin; 0 of an empty bin."""
+    low, high = _integral(spline, i, F.get(edges, i)), _integral(spline, i + 1, F.get(edges, i + 1))
+    at = _integral(spline, F.when(x < F.get(spline["knots"], i + 1), i).otherwise(i + 1), x)
+    return F.when((F.get(counts, i) > 0) & (high != low), (at - low) / (high - low)).otherwise(0.0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fractile.functions.histogram import cumulated, distribution, edges_below, edges_upto, maybe_below, scaled, surely_below
-from fractile.functions.spline import spline_rebinned
+from fractile.functions.spline import with_spline
 from fractile.operators.profiles import prepared
 from fractile.plans.store import small
 
@@ -27,14 +27,11 @@ def aligned(hists: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFr
 def rebinned(hists: DataFrame, members: DataFrame, clusters: DataFrame, estimation: str = "continuous_value") -> DataFrame:
     """(cluster_id, hist_id, edges, counts, cum, total): histograms over their cluster's edges; counts are shares of the total 1."""
     rows = aligned(hists, members, clusters)
-    if estimation == "cubic_spline":
-        given = spline_rebinned("edges", F.transform("counts", lambda c: c.cast("double")), "new_edges")
-        shares = F.transform(given, lambda x: x / F.col("total"))
-    elif estimation == "continuous_value":
-        rows = rows.withColumn("at", F.transform("new_edges", lambda x: distribution(F.col("edges"), F.col("counts"), F.col("cum"), x)))
-        shares = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda k: F.element_at("at", k + 1) - F.element_at("at", k))
-    else:
+    if estimation not in ("continuous_value", "cubic_spline"):
         raise ValueError(f"unknown bin estimation: {estimation}")
+    spline = F.col("spline") if estimation == "cubic_spline" else None
+    rows = (with_spline(rows) if estimation == "cubic_spline" else rows).withColumn("at", F.transform("new_edges", lambda x: distribution(F.col("edges"), F.col("counts"), F.col("cum"), x, spline)))
+    shares = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda k: F.element_at("at", k + 1) - F.element_at("at", k))
     rows = rows.select("cluster_id", "hist_id", F.col("new_edges").alias("edges"), shares.alias("counts"))
     return rows.select("*", cumulated(F.col("counts"), F.lit(0.0)).alias("cum"), F.lit(1.0).alias("total"))
 

@@ -263,6 +263,30 @@ m AS (SELECT query_id, hist_id, p, total, {_mass(mode, compat)} AS m FROM (SELEC
 truth AS (SELECT query_id, hist_id FROM m WHERE {bound})"""
 
 
+def _spline(asked: list) -> str:
+    """The clamped spline by a recursive elimination over the inner knots, and the share of the reference's bin below it."""
+    whole = lambda at, s: f"({at.format('u')}[{s}] + w * ({at.format('y')}[{s}] * (t - t ** 3 + t ** 4 / 2) + {at.format('y')}[{s} + 1] * (t ** 3 - t ** 4 / 2) + w * {at.format('d')}[{s}] * (t ** 2 / 2 - 2 * t ** 3 / 3 + t ** 4 / 4) + w * {at.format('d')}[{s} + 1] * (t ** 4 / 4 - t ** 3 / 3)))"
+    place = lambda name, s, v: f"{name} AS (SELECT query_id, hist_id, {whole('{}', 's')} AS v FROM (SELECT *, x[s + 1] - x[s] AS w, ({v} - x[s]) / (x[s + 1] - x[s]) AS t FROM (SELECT *, {s} AS s FROM inside)))"
+    share = "CASE WHEN counts[k] > 0 THEN (r.v - l.v) / (g.v - l.v) ELSE 0 END"
+    return f"""{_hists(_lineitem("l_suppkey"))},
+q(query_id, p, op, ref) AS (VALUES {_rows(asked)}),
+kn AS (SELECT hist_id, len(counts)::INT AS n, list_concat([edges[1]], list_transform(range(1, len(edges)), lambda i: (edges[i] + edges[i + 1]) / 2), [edges[-1]]) AS x, list_concat([0.0::DOUBLE], counts::DOUBLE[], [0.0::DOUBLE]) AS y FROM h),
+eq AS (SELECT hist_id, n, i, x[i + 1] - x[i] AS h0, x[i + 2] - x[i + 1] AS h1, y[i + 1] - y[i] AS r0, y[i + 2] - y[i + 1] AS r1 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kn)),
+up AS (SELECT hist_id, n, i, h0, h1, 2 * (h0 + h1) AS b, 3 * (h1 * r0 / h0 + h0 * r1 / h1) AS r FROM eq),
+fw AS (SELECT hist_id, n, i, h0, b, r FROM up WHERE i = 1 UNION ALL SELECT u.hist_id, u.n, u.i, u.h0, u.b - u.h1 / f.b * f.h0, u.r - u.h1 / f.b * f.r FROM fw f JOIN up u ON u.hist_id = f.hist_id AND u.i = f.i + 1),
+bw AS (SELECT hist_id, i, r / b AS d FROM fw WHERE i = n UNION ALL SELECT f.hist_id, f.i, (f.r - f.h0 * w.d) / f.b FROM bw w JOIN fw f ON f.hist_id = w.hist_id AND f.i = w.i - 1),
+sl AS (SELECT hist_id, list_concat([0.0::DOUBLE], list(d ORDER BY i), [0.0::DOUBLE]) AS d FROM bw GROUP BY hist_id),
+pc AS (SELECT *, list_transform(range(1, n + 2), lambda i: (x[i + 1] - x[i]) * (y[i] + y[i + 1]) / 2 + (x[i + 1] - x[i]) ** 2 * (d[i] - d[i + 1]) / 12) AS pieces FROM kn JOIN sl USING (hist_id)),
+sp AS (SELECT hist_id, x, y, d, list_transform(range(n + 2), lambda i: coalesce(list_sum(list_slice(pieces, 1, i)), 0.0)) AS u FROM pc),
+asked AS (SELECT *, len(list_filter(edges, lambda e: e < ref)) AS k FROM h, q),
+inside AS (SELECT * FROM asked JOIN sp USING (hist_id) WHERE k BETWEEN 1 AND len(edges) - 1),
+{place("lo", "k", "edges[k]")}, {place("hi", "k + 1", "edges[k + 1]")}, {place("mi", "CASE WHEN ref < x[k + 1] THEN k ELSE k + 1 END", "ref")},
+m AS (SELECT a.*, CASE WHEN k = 0 THEN CASE WHEN op IN ('lt', 'le') THEN 0 ELSE total END WHEN k = len(edges) THEN CASE WHEN op IN ('lt', 'le') THEN total ELSE 0 END
+  WHEN op IN ('lt', 'le') THEN cum[k] + counts[k] * ({share}) ELSE total - cum[k + 1] + counts[k] * (1 - {share}) END AS m
+  FROM asked a LEFT JOIN lo l USING (query_id, hist_id) LEFT JOIN hi g USING (query_id, hist_id) LEFT JOIN mi r USING (query_id, hist_id)),
+truth AS (SELECT query_id, hist_id FROM m WHERE round_even((m / total) * 1e4, 0) / 1e4 >= p::FLOAT::DOUBLE)"""
+
+
 _CLUSTERS = f"""
 ends AS (SELECT (hist_id % 4)::INT AS cluster_id, min(edges[1]) AS low, max(edges[-1]) AS high, count(*) AS n_hists FROM h GROUP BY 1),
 parts AS (SELECT *, greatest(floor((n_hists + 1.0::DOUBLE) / (sum(n_hists) OVER () + 1.0::DOUBLE * count(*) OVER ()) * {N_BINS}), 1)::INT AS n FROM ends),
@@ -400,6 +424,7 @@ SELECT query_id::BIGINT AS query_id, CASE WHEN p = 0 THEN 1.0::DOUBLE WHEN t = 0
         "e1_over": exact,
         "e1_under": answer(_e1(OFF_EDGE, "under")),
         "e1_continuous": answer(_e1(OFF_EDGE, "continuous_value")),
+        "e1_spline": f"WITH RECURSIVE {_spline(OFF_EDGE)} SELECT query_id::BIGINT AS query_id, hist_id FROM truth",
         "e1_over_edges": answer(_e1(ON_EDGE, "over")),
         "e1_under_edges": answer(_e1(ON_EDGE, "under")),
         "e1_continuous_edges": answer(_e1(ON_EDGE, "continuous_value")),

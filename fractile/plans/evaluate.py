@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fractile.functions.histogram import edges_below, mass, normal_cdf, round4, satisfied, scaled
-from fractile.functions.spline import spline_mass
+from fractile.functions.spline import with_spline
 from fractile.operators.filters import keep_ids
 from fractile.operators.profiles import prepared
 from fractile.plans.store import checkpointed, small
@@ -19,26 +19,27 @@ from fractile.plans.store import checkpointed, small
 LOWER = ("lt", "le")
 
 
-def _matches(hists: DataFrame, pairs: DataFrame, mode: str, edge_compat: bool) -> DataFrame:
+def _scanned(hists: DataFrame, mode: str) -> DataFrame:
+    """What a scan reads of histograms; a spline is fitted once for all queries."""
+    rows = prepared(hists).select("hist_id", "edges", "counts", "cum", "total")
+    return with_spline(rows) if mode == "cubic_spline" else rows
+
+
+def _matches(pairs: DataFrame, mode: str, edge_compat: bool) -> DataFrame:
     """pairs: rows with a histogram's columns and a query's; those that satisfy the predicate."""
     c = {n: F.col(n) for n in ("edges", "counts", "cum", "op", "reference", "percentile", "total")}
-    if mode == "cubic_spline":
-        part = spline_mass("edges", F.transform("counts", lambda x: x.cast("double")), "op", "reference", F.lit(edge_compat))
-        pairs = pairs.withColumn("part", part)
-        return pairs.where(satisfied(F.col("part"), c["total"], c["percentile"], mode, edge_compat))
-    return pairs.where(satisfied(mass(c["edges"], c["counts"], c["cum"], c["op"], c["reference"], mode, edge_compat), c["total"], c["percentile"], mode, edge_compat))
+    spline = F.col("spline") if mode == "cubic_spline" else None
+    return pairs.where(satisfied(mass(c["edges"], c["counts"], c["cum"], c["op"], c["reference"], mode, edge_compat, spline), c["total"], c["percentile"], mode, edge_compat))
 
 
 def scan(hists: DataFrame, queries: DataFrame, mode: str = "over", edge_compat: bool = True) -> DataFrame:
     """E1: every histogram against every query."""
-    rows = prepared(hists).select("hist_id", "edges", "counts", "cum", "total")
-    return _matches(rows, rows.crossJoin(small(queries)), mode, edge_compat).select("query_id", "hist_id")
+    return _matches(_scanned(hists, mode).crossJoin(small(queries)), mode, edge_compat).select("query_id", "hist_id")
 
 
 def scan_pairs(hists: DataFrame, queries: DataFrame, pairs: DataFrame, mode: str = "over", edge_compat: bool = True) -> DataFrame:
     """E1 for given (query_id, hist_id) only."""
-    rows = prepared(hists).select("hist_id", "edges", "counts", "cum", "total")
-    return _matches(rows, pairs.join(small(queries), "query_id").join(rows, "hist_id"), mode, edge_compat).select("query_id", "hist_id")
+    return _matches(pairs.join(small(queries), "query_id").join(_scanned(hists, mode), "hist_id"), mode, edge_compat).select("query_id", "hist_id")
 
 
 def _outside(clustered: DataFrame, queries: DataFrame) -> tuple[Column, Column]:
@@ -50,10 +51,10 @@ def _outside(clustered: DataFrame, queries: DataFrame) -> tuple[Column, Column]:
 
 def scan_rebinned(rebinned: DataFrame, queries: DataFrame, mode: str = "continuous_value", edge_compat: bool = True) -> DataFrame:
     """E2: the scan over histograms in their cluster's bins, with a short cut outside its range."""
-    rows = rebinned.withColumns({"first": F.element_at("edges", 1), "last": F.element_at("edges", -1)}).crossJoin(small(queries))
+    rows = (with_spline(rebinned) if mode == "cubic_spline" else rebinned).withColumns({"first": F.element_at("edges", 1), "last": F.element_at("edges", -1)}).crossJoin(small(queries))
     beyond, every = _outside(rows, queries)
     c = {n: F.col(n) for n in ("edges", "counts", "cum", "op", "reference", "percentile", "total")}
-    inside = satisfied(mass(c["edges"], c["counts"], c["cum"], c["op"], c["reference"], mode, edge_compat), c["total"], c["percentile"], mode, edge_compat)
+    inside = satisfied(mass(c["edges"], c["counts"], c["cum"], c["op"], c["reference"], mode, edge_compat, F.col("spline") if mode == "cubic_spline" else None), c["total"], c["percentile"], mode, edge_compat)
     return rows.where(F.when(beyond, every).otherwise(inside)).select("query_id", "hist_id")
 
 

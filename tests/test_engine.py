@@ -194,19 +194,23 @@ def test_normal(spark):
     assert got == want
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=8), st.floats(0.05, 0.95))
-def test_spline_integrates_its_polynomials(counts, at):
-    edges = np.cumsum([0.0, *[1.0 + k % 3 for k in range(len(counts))]])
-    x, y, slopes = spline.spline_of(edges, counts)
-    a, b = edges[0], edges[0] + at * (edges[-1] - edges[0])
-    grid = np.linspace(a, b, 4001)
+def by_trapezoids(x, y, slopes, b):
+    """The integral of cubics from the first knot to b, by their values alone."""
+    grid = np.linspace(x[0], b, 4001)
     k = np.clip(np.searchsorted(x, grid, "right") - 1, 0, len(x) - 2)
     h = np.diff(x)[k]
     t = (grid - x[k]) / h
     values = y[k] * (1 - 3 * t**2 + 2 * t**3) + y[k + 1] * (3 * t**2 - 2 * t**3) + h * slopes[k] * (t - 2 * t**2 + t**3) + h * slopes[k + 1] * (t**3 - t**2)
-    numeric = ((values[1:] + values[:-1]) / 2 * np.diff(grid)).sum()
-    assert math.isclose(spline.integral(x, y, slopes, a, b), numeric, rel_tol=1e-4, abs_tol=1e-4)
+    return ((values[1:] + values[:-1]) / 2 * np.diff(grid)).sum()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_spline_integrates_its_polynomials(counts):
+    edges = np.cumsum([0.0, *[1.0 + k % 3 for k in range(len(counts))]])
+    (x,), (y,), (slopes,), (upto,) = spline.fit(np.array([edges]), np.array([counts], float))
+    for j in range(1, len(x)):
+        assert math.isclose(upto[j], by_trapezoids(x, y, slopes, x[j]), rel_tol=1e-4, abs_tol=1e-4)
     inner = range(1, len(x) - 1)
     h = np.diff(x)
     for j in inner:  # second derivatives meet
@@ -219,6 +223,21 @@ def test_spline_modes(spark, random_hists):
     hists, _ = random_hists
     asked = q.to_frame(spark, off_edge(n=6))
     assert evaluate.scan(hists, asked, "cubic_spline").count() > 0
+    part = H.mass(F.col("edges"), F.col("counts"), F.col("cum"), F.col("op"), F.col("reference"), "cubic_spline", True, F.col("spline"))
+    empty = spark.createDataFrame([(-1, [0.0, 1.0, 2.0, 4.0, 5.0], [3, 0, 0, 2], 5)], "hist_id long, edges array<double>, counts array<long>, total long")
+    rows = spline.with_spline(prepared(hists.select(*empty.columns).unionByName(empty))).crossJoin(asked).withColumn("part", part)
+    for r in rows.collect():
+        e, v, s, ref = r["edges"], r["counts"], r["spline"], r["reference"]
+        k = int(np.searchsorted(e, ref, "left")) - 1
+        lower = r["op"] in ("lt", "le")
+        if k < 0 or k == len(v):
+            want = r["total"] if (k < 0) != lower else 0
+        else:
+            upto = lambda b: by_trapezoids(np.array(s["knots"]), np.array(s["values"]), np.array(s["slopes"]), b)  # noqa: B023, E731
+            low = upto(e[k]) if k else 0.0
+            share = (upto(ref) - low) / (upto(e[k + 1]) - low) if v[k] else 0.0
+            want = sum(v[:k]) + v[k] * share if lower else sum(v[k + 1 :]) + v[k] * (1 - share)
+        assert math.isclose(r["part"], want, abs_tol=0.01 * r["total"]), (r, want)
     members = hists.select(F.lit(0).alias("cluster_id"), "hist_id")
     clusters = clustering.cluster_edges(hists, members, 30, 1.0)
     sums = rebinned(hists, members, clusters, "cubic_spline").select(F.element_at("cum", -1).alias("s")).collect()
