@@ -77,22 +77,14 @@ def _exact_binsort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.exact_binsort(binsort(hists), create_index(hists, members, clusters, "conversion"), clusters, members, q.to_frame(spark, OFF_EDGE))
 
 
-def _exact_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hists = checkpointed(collection(spark, sf_dir), "hists")
-    members, clusters = clustering.cluster_histograms(hists, 400, "standard", "kmeans", (3, 4))
-    members, clusters = checkpointed(members, "members"), checkpointed(clusters, "clusters")
-    return evaluate.exact(hists, create_index(hists, members, clusters, "conversion"), clusters, members, q.to_frame(spark, OFF_EDGE))
-
-
-def _exact_nations(algorithm: str, span: tuple[int, int]) -> Callable:
-    """Clusterings that need all distances, over the nations' customers: as many histograms at any size."""
+def _exact_clustered(algorithm: str, span: tuple[int, int]) -> Callable:
+    """E7 under fitted clusters of the whole collection."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("hist_id"), F.col("c_acctbal").alias("value"))
-        hists = checkpointed(histograms(rows, bins_of(), keys=("hist_id",)), "hists")
-        members, clusters = clustering.cluster_histograms(hists, 60, "standard", algorithm, span)
+        hists = checkpointed(collection(spark, sf_dir), "hists")
+        members, clusters = clustering.cluster_histograms(hists, 400, "standard", algorithm, span)
         members, clusters = checkpointed(members, "members"), checkpointed(clusters, "clusters")
-        return evaluate.exact(hists, create_index(hists, members, clusters, "conversion"), clusters, members, q.to_frame(spark, NATION_QUERIES))
+        return evaluate.exact(hists, create_index(hists, members, clusters, "conversion"), clusters, members, q.to_frame(spark, OFF_EDGE))
 
     return query
 
@@ -168,7 +160,6 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scan(histograms(rows, bins_of(), keys=("hist_id",)), q.to_frame(spark, USER_QUERIES), "over")
 
 
-NATION_QUERIES = [q.PercentileQuery(p, op, r) for p in (0.3, 0.55) for op in q.OPERATORS for r in (12.3456, 4567.8912, 9000.1234)]
 USER_QUERIES = [q.PercentileQuery(p, op, r) for p in (0.25, 0.75) for op in ("lt", "ge") for r in (20.123, 55.777)]
 
 
@@ -379,9 +370,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e6_binsort_precision": lambda s, d: evaluate.binsort_scan(binsort(collection(s, d)), q.to_frame(s, OFF_EDGE), "precision"),
         "e7_exact": _exact,
         "e7_exact_binsort": _exact_binsort,
-        "e7_exact_kmeans": _exact_kmeans,
-        "e7_exact_linkage": _exact_nations("agglomerative", (2, 4)),
-        "e7_exact_density": _exact_nations("hdbscan", (2, 2)),
+        "e7_exact_kmeans": _exact_clustered("kmeans", (3, 4)),
+        "e7_exact_linkage": _exact_clustered("agglomerative", (2, 4)),
+        "e7_exact_density": _exact_clustered("hdbscan", (2, 2)),
         "filter_random_ids": lambda s, d: filters.random_ids(collection(s, d), 0.25, 42),
         "set_operations": _set_operations,
         "boolean_composition": _boolean,
@@ -411,7 +402,6 @@ def oracle_sql() -> dict[str, str]:
 n AS (SELECT q.query_id, (SELECT count(*) FROM truth t WHERE t.query_id = q.query_id) AS t, (SELECT count(*) FROM found f WHERE f.query_id = q.query_id) AS p, (SELECT count(*) FROM found f JOIN truth t USING (query_id, hist_id) WHERE f.query_id = q.query_id) AS b FROM q)
 SELECT query_id::BIGINT AS query_id, CASE WHEN p = 0 THEN 1.0::DOUBLE WHEN t = 0 THEN 0.0 ELSE b / p END AS precision, CASE WHEN t = 0 THEN 1.0::DOUBLE WHEN p = 0 THEN 0.0 ELSE b / t END AS recall, CASE WHEN t = 0 AND p = 0 THEN 1.0::DOUBLE WHEN b = 0 THEN 0.0 ELSE 2 * b / (t + p) END AS f1 FROM n"""
     exact = answer(_e1(OFF_EDGE, "over"))
-    nations = answer(_e1(NATION_QUERIES, "over", True, "SELECT c_nationkey::BIGINT AS hist_id, c_acctbal AS v FROM customer"))
     return {
         "profile_histograms": f"WITH {h} {bars}",
         "profile_histograms_parts": f"WITH {_hists(_lineitem('l_partkey'))} {bars}",
@@ -450,8 +440,8 @@ SELECT query_id::BIGINT AS query_id, stratum, CASE WHEN row_number() OVER (PARTI
         "e7_exact": exact,
         "e7_exact_binsort": exact,
         "e7_exact_kmeans": exact,
-        "e7_exact_linkage": nations,
-        "e7_exact_density": nations,
+        "e7_exact_linkage": exact,
+        "e7_exact_density": exact,
         "filter_random_ids": f"WITH {h} {drawn}",
         "set_operations": f"WITH {sides} SELECT 'and' AS set, query_id::BIGINT AS query_id, hist_id FROM (FROM truth INTERSECT FROM under) UNION ALL SELECT 'or', * FROM (FROM truth UNION FROM under) UNION ALL SELECT 'minus', * FROM (FROM truth EXCEPT FROM under) UNION ALL SELECT 'xor', * FROM ((FROM truth EXCEPT FROM under) UNION (FROM under EXCEPT FROM truth))",
         "boolean_composition": f"WITH {_e1(OFF_EDGE, 'over')}, s AS (SELECT hist_id, list(query_id) AS l FROM truth GROUP BY hist_id) SELECT hist_id FROM s WHERE (list_contains(l, 1) OR list_contains(l, 2)) AND NOT list_contains(l, 13) AND list_contains(l, 22)",

@@ -144,8 +144,8 @@ def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single linkage of all histograms into as many clusters as gaps between sorted widths allow: of one feature, the longest gaps part the clusters."""
-    rows = store.checkpointed(_features(spark, sf_dir), "features").where("hist_id % 4 = 1").withColumns({"low": F.lit(0.0), "high": F.lit(0.0)})
+    """Single linkage of all histograms into three clusters by width alone: of one feature, the two longest gaps part them."""
+    rows = store.checkpointed(_features(spark, sf_dir), "features").withColumns({"low": F.lit(0.0), "high": F.lit(0.0)})
     return clustering.members(clustering.cluster_labels(rows, "agglomerative", (3, 3))).groupBy("cluster_id").agg(F.min("hist_id").alias("first_id"), F.count(F.lit(1)).alias("n")).select("first_id", "n")
 
 
@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
 y AS (SELECT *, {johnson} AS y FROM g), l AS (SELECT c, g, -(count(*) / 2) * ln(var_pop(y)) + (g - 1) * sum(sign(x) * ln(1 + abs(x))) AS l FROM y GROUP BY c, g HAVING var_pop(y) > 0 AND isfinite(var_pop(y))), b AS (SELECT c, max_by(g, l) AS g FROM l GROUP BY c),
 z AS (SELECT hist_id, c, round((y - avg(y) OVER (PARTITION BY c)) / stddev_pop(y) OVER (PARTITION BY c), 5) AS z FROM y JOIN b USING (c, g)) SELECT hist_id, max(z) FILTER (WHERE c = 'low') AS low, max(z) FILTER (WHERE c = 'high') AS high, max(z) FILTER (WHERE c = 'width') AS width FROM z GROUP BY hist_id""",
         "cluster_choice": f"WITH {features} " + " UNION ALL ".join(f"SELECT '{k}' AS clustering, round(({score(by)}), 4) AS score" for k, by in labels.items()),
-        "cluster_linkage": f"WITH {features}, s AS (SELECT hist_id, width - lag(width) OVER (ORDER BY width) AS gap, width FROM f WHERE hist_id % 4 = 1), t AS (SELECT gap FROM s ORDER BY gap DESC NULLS LAST LIMIT 2), k AS (SELECT hist_id, sum((gap >= (SELECT min(gap) FROM t))::INT) OVER (ORDER BY width) AS k FROM s) SELECT min(hist_id) AS first_id, count(*) AS n FROM k GROUP BY coalesce(k, 0)",
+        "cluster_linkage": f"WITH {features}, s AS (SELECT hist_id, width - lag(width) OVER (ORDER BY width) AS gap, width FROM f), t AS (SELECT gap FROM s ORDER BY gap DESC NULLS LAST LIMIT 2), k AS (SELECT hist_id, sum((gap >= (SELECT min(gap) FROM t))::INT) OVER (ORDER BY width) AS k FROM s) SELECT min(hist_id) AS first_id, count(*) AS n FROM k GROUP BY coalesce(k, 0)",
         "cluster_members": f"WITH {h} SELECT (hist_id % 4)::INT AS cluster_id, hist_id FROM h",
         "cluster_size": f"WITH {h}, {_CLUSTERS} SELECT sum(n_hists * len(new) * 6)::BIGINT AS n_bytes FROM c",
         "cluster_range_check": f"WITH {h}, {_CLUSTERS} SELECT c.cluster_id FROM c JOIN ends USING (cluster_id) WHERE abs(new[1] - cluster_id * 1e-4::DOUBLE - low) > 1e-4::DOUBLE OR abs(new[-1] - high) > 1e-4::DOUBLE",
