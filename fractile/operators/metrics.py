@@ -10,10 +10,14 @@ from fractile.plans.store import checkpointed, small
 KEYS = ["query_id", "hist_id"]
 
 
+def _marked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, hist_id, m) of all results: m is 1 if only a has it, 2 if only b, 3 if both."""
+    return a.select(*KEYS, F.lit(1).alias("m")).unionByName(b.select(*KEYS, F.lit(2).alias("m"))).groupBy(*KEYS).agg(F.bit_or("m").alias("m"))
+
+
 def accuracy(queries: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(query_id, precision, recall, f1) of every query: both empty gives 1, 1, 1; an empty truth 0, 1, 0; an empty prediction 1, 0, 0."""
-    marks = truth.select(*KEYS, F.lit(1).alias("m")).unionByName(predicted.select(*KEYS, F.lit(2).alias("m"))).groupBy(*KEYS).agg(F.bit_or("m").alias("m"))
-    n = marks.groupBy("query_id").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in (("t", F.col("m") != 2), ("p", F.col("m") != 1), ("b", F.col("m") == 3))])
+    n = _marked(truth, predicted).groupBy("query_id").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in (("t", F.col("m") != 2), ("p", F.col("m") != 1), ("b", F.col("m") == 3))])
     rows = queries.select("query_id").join(n, "query_id", "left").na.fill(0, ["t", "p", "b"])
     t, p, b = F.col("t"), F.col("p"), F.col("b")
     precision = F.when(p == 0, 1.0).when(t == 0, 0.0).otherwise(b / p)
@@ -46,9 +50,9 @@ def edge_matches(queries: DataFrame, hists: DataFrame, tolerance: float = 1e-6)
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(query_id, hist_id, side) of results that only one side has; empty where an index and a baseline agree."""
-    left = a.join(b, KEYS, "left_anti").select(*KEYS, F.lit("first").alias("side"))
-    return left.unionByName(b.join(a, KEYS, "left_anti").select(*KEYS, F.lit("second").alias("side")))
+    """(query_id, hist_id, side) of results that only one side has; empty where an index and a baseline agree. Sides are marked and counted together: results compress so well that a join would broadcast them by their files' size."""
+    rows = _marked(a, b).where("m < 3")
+    return rows.select(*KEYS, F.when(F.col("m") == 1, "first").otherwise("second").alias("side"))
 
 
 def mean_difference(queries: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

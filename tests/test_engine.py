@@ -334,6 +334,21 @@ def test_metrics_conventions(spark):
     assert {r["query_id"]: r["selectivity"] for r in metrics.selectivity(asked, truth, 4).collect()} == {0: 0.0, 1: 0.0, 2: 0.25, 3: 0.5}
 
 
+def overlapping_results(spark):
+    """Two written results with four rows that only one has, and one row twice."""
+    rows = spark.range(200_000).select((F.col("id") % 36).alias("query_id"), F.floor(F.col("id") / 36).alias("hist_id"))
+    return store.checkpointed(rows.where("id >= 2"), "truth"), store.checkpointed(rows.where("id < 199998").unionByName(rows.limit(1)), "found")
+
+
+def test_mean_difference_without_broadcasts(spark, capsys):
+    """Files of results are far smaller than their rows, so that a join by their size would broadcast them."""
+    mean = metrics.mean_difference(q.to_frame(spark, [q.PercentileQuery(0.5, "lt", 1.0)] * 36).coalesce(1), *overlapping_results(spark))
+    assert mean.first()[0] == 4 / 36
+    mean.explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" in plan and "LeftAnti" not in plan
+
+
 def test_boolean_and_column_filters(spark):
     found = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "query_id long, hist_id long")
     every = spark.createDataFrame([(k,) for k in range(1, 6)], "hist_id long")
