@@ -349,6 +349,15 @@ def test_mean_difference_without_broadcasts(spark, capsys):
     assert "FileScan" in plan and "LeftAnti" not in plan
 
 
+def test_differing_results_without_broadcasts(spark, capsys):
+    """Each result once, as SQL's EXCEPT has it."""
+    out = metrics.differing(*overlapping_results(spark))
+    assert sorted(map(tuple, out.collect())) == [(0, 0, "second"), (1, 0, "second"), (199_998 % 36, 5555, "first"), (199_999 % 36, 5555, "first")]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" in plan and "Join" not in plan and "Broadcast" not in plan
+
+
 def test_boolean_and_column_filters(spark):
     found = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "query_id long, hist_id long")
     every = spark.createDataFrame([(k,) for k in range(1, 6)], "hist_id long")
