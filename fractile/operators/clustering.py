@@ -5,17 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fractile.functions.histogram import round4
-from fractile.plans.store import checkpointed
+from fractile.functions.tree import joined, numbered, shortest_tree
+from fractile.plans.store import checkpointed, small
 
 BOUND = 1e31
 FEATURES = ("low", "high", "width")
-#: Rows up to which single linkage and density clustering, which need all distances, are allowed.
-LINKAGE_ROWS = 5_000
 
 
 def features(hists: DataFrame) -> DataFrame:
@@ -91,8 +90,8 @@ def cluster_labels(rows: DataFrame, algorithm: str = "kmeans", n_clusters: tuple
     if algorithm == "agglomerative":
         return _single_linkage(rows, range(max(2, low), high + 1))
     if algorithm == "hdbscan":
-        ids, x = _all_rows(rows)
-        return _labelled(rows, ids, density_labels(x))
+        rows, x, n, _ = _points(rows)
+        return _labelled(rows, x, density_labels(x, weights=n))
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -112,20 +111,25 @@ def cluster_labels(rows: DataFrame, algorithm: str = "kmeans", n_clusters: tuple
     return out
 
 
-def _all_rows(rows: DataFrame) -> tuple[pd.Series, np.ndarray]:
-    """Ids and features of at most LINKAGE_ROWS histograms, in order of the ids."""
-    if rows.limit(LINKAGE_ROWS + 1).count() > LINKAGE_ROWS:
-        raise ValueError(f"this clustering needs all distances; {LINKAGE_ROWS} histograms at most, use bisecting")
-    pdf = rows.orderBy("hist_id").toPandas()
-    return pdf["hist_id"], pdf[list(FEATURES)].to_numpy(float)
+def _points(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows as written once, their distinct points on the driver in order of their least hist_ids, how many rows are at each, and these hist_ids."""
+    rows = checkpointed(rows.select("hist_id", *FEATURES), "rows")
+    found = rows.groupBy(*FEATURES).agg(F.min("hist_id").alias("first"), F.count(F.lit(1)).alias("n")).toArrow()
+    table = {k: c.to_numpy() for k, c in zip(found.column_names, found.columns)}
+    order = np.argsort(table["first"])
+    return rows, np.stack([table[c][order] for c in FEATURES], axis=1).astype(float), table["n"][order], table["first"][order]
 
 
-def _labelled(rows: DataFrame, ids: pd.Series, labels: np.ndarray) -> DataFrame:
-    return rows.sparkSession.createDataFrame(pd.DataFrame({"hist_id": ids, "label": labels.astype("int32")}), "hist_id long, label int")
+def _labelled(rows: DataFrame, x: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """(hist_id, label) by the labels of the distinct points x."""
+    table = pa.table({**{c: x[:, k] for k, c in enumerate(FEATURES)}, "label": labels.astype("int32")})
+    named = checkpointed(rows.sparkSession.createDataFrame(table, ", ".join(f"{c} double" for c in FEATURES) + ", label int"), "points")
+    near = small(named)
+    return checkpointed(rows.join(named.hint("merge") if near is named else near, list(FEATURES)).select("hist_id", "label"), "labels")
 
 
 def _spanning_tree(x: np.ndarray, core: np.ndarray | None = None) -> list[tuple[float, int, int]]:
-    """Prim's tree over distances, none smaller than its ends' core distances: (length, node, node), shortest first."""
+    """Prim's tree over all distances, none smaller than its ends' core distances: (length, node, node), shortest first."""
     n = len(x)
     near, link, done, tree = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
     at = 0
@@ -145,18 +149,25 @@ def _spanning_tree(x: np.ndarray, core: np.ndarray | None = None) -> list[tuple[
 DENSEST = 1e300
 
 
-def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.ndarray:
+def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1, weights: np.ndarray | None = None) -> np.ndarray:
     """HDBSCAN: of the hierarchy of groups of at least `least` points the most stable ones that don't overlap, numbered in order of their first points; -1 for points in none.
 
     Density is 1 / distance. A group lives from the density at which it splits
     off to the one at which it splits in two; its stability is how long its
     points stay in it, summed. The whole is never a group of its own. With one
-    neighbour, the point itself, core distances are 0.
+    neighbour, the point itself, core distances are 0 and nearest points are
+    searched; with more, all distances are needed. weights says how many points
+    are at each place, which then are a group if they are enough; with them
+    there is one neighbour.
     """
     n = len(x)
-    core = None
+    if weights is not None and neighbours > 1:
+        raise ValueError("weights are for one neighbour")
     if neighbours > 1 and n:
         core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), min(neighbours, n) - 1)[min(neighbours, n) - 1] for p in x])
+        tree = _spanning_tree(x, core)
+    else:
+        tree = zip(*(c.tolist() for c in shortest_tree(x)))
     halves, density, top = {}, {}, list(range(n))
 
     def node(k: int) -> int:
@@ -165,12 +176,12 @@ def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.nda
             k = top[k]
         return k
 
-    for length, a, b in _spanning_tree(x, core):
+    for length, a, b in tree:
         a, b, new = node(a), node(b), len(top)
         halves[new], density[new] = (a, b), min(DENSEST, 1 / length) if length else DENSEST
         top.append(new)
         top[a] = top[b] = new
-    sizes = [1] * n
+    sizes = [1] * n if weights is None else weights.tolist()
     for k in range(n, len(top)):
         sizes.append(sum(sizes[h] for h in halves[k]))
 
@@ -184,6 +195,8 @@ def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.nda
             if len(large) == 2:
                 groups += [(h, density[stays], len(stability)) for h in large]
             stays = large[0] if len(large) == 1 else None
+        if stays is not None and sizes[stays] > 1:  # all at one place
+            own += (DENSEST - birth) * sizes[stays]
         stability.append(own)
     below, chosen = [0.0] * len(groups), [False] * len(groups)
     for g in range(len(groups) - 1, 0, -1):
@@ -210,25 +223,33 @@ def density_labels(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.nda
 
 
 def _single_linkage(rows: DataFrame, ks: range) -> DataFrame:
-    """Single linkage over all distances: the tree's longest edges are the last merges."""
-    ids, x = _all_rows(rows)
-    n, tree = len(x), _spanning_tree(x)
-    best = (-math.inf, np.zeros(n, int))
-    for k in ks:
-        if k > n:
-            break
-        label = np.arange(n)
-        for _, a, b in tree[: n - k]:
-            label[label == label[a]] = label[b]
-        label = np.unique(label, return_inverse=True)[1]
-        means = np.stack([x[label == c].mean(axis=0) for c in range(k)])
-        counts = np.bincount(label)
-        between = (counts[:, None] * (means - x.mean(axis=0)) ** 2).sum()
-        within = ((x - means[label]) ** 2).sum()
-        score = math.inf if within <= 0 or n == k else (between / (k - 1)) / (within / (n - k)) if k > 1 else -math.inf
-        if score > best[0]:
-            best = (score, label)
-    return _labelled(rows, ids, best[1])
+    """Single linkage over all histograms: the shortest tree's longest edges are the last merges. Those at one point stay together while there are fewer clusters than points."""
+    rows, x, n, first = _points(rows)
+    m, total = len(x), int(n.sum())
+    _, a, b = shortest_tree(x)
+    top, merged = list(range(m)), 0
+    best = (-math.inf, np.zeros(m, int), 0)
+    for k in sorted(ks, reverse=True):
+        if k > total:
+            continue
+        for p, q in zip(a[merged : max(m - k, 0)].tolist(), b[merged : max(m - k, 0)].tolist()):
+            joined(top, p, q)
+        merged = max(merged, m - k)
+        label = numbered(top)
+        counts = np.bincount(label, n)
+        means = np.stack([np.bincount(label, n * c) for c in x.T], axis=1) / counts[:, None]
+        between = (counts[:, None] * (means - np.average(x, axis=0, weights=n)) ** 2).sum()
+        within = (n[:, None] * (x - means[label]) ** 2).sum()
+        score = math.inf if within <= 0 or total == k else (between / (k - 1)) / (within / (total - k)) if k > 1 else -math.inf
+        if score >= best[0]:
+            best = (score, label, max(k - m, 0))
+    out = _labelled(rows, x, best[1])
+    if best[2]:  # more clusters than points: the last histograms that aren't the first at theirs are clusters of their own
+        later = rows.orderBy(F.desc("hist_id")).limit(best[2] + m).collect()
+        spare = [r["hist_id"] for r in later if r["hist_id"] not in set(first.tolist())][: best[2]]
+        own = F.create_map(*[F.lit(v) for k, i in enumerate(spare) for v in (i, m + k)])
+        out = out.withColumn("label", F.coalesce(F.try_element_at(own, F.col("hist_id")), F.col("label")).cast("int"))
+    return out
 
 
 def members(labels: DataFrame) -> DataFrame:

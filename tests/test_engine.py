@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fractile.functions import histogram as H
 from fractile.functions import spline
+from fractile.functions.tree import shortest_tree
 from fractile.operators import clustering, filters, metrics
 from fractile.operators import queries as q
 from fractile.operators.index import binsort, conversion, create_index, rebinned, verify
@@ -334,6 +335,62 @@ def test_metrics_conventions(spark):
     assert {r["query_id"]: r["selectivity"] for r in metrics.selectivity(asked, truth, 4).collect()} == {0: 0.0, 1: 0.0, 2: 0.25, 3: 0.5}
 
 
+def points_of(k, n, rng):
+    """Spread, rounded, on a line, of very different scales, in far groups."""
+    x = rng.normal(size=(n, 3))
+    return [x, np.round(x, 1), np.round(x) * [1, 0, 0], x * rng.uniform(0, 1, (n, 1)) ** 6 * 1e31, x * 1e-3 + rng.uniform(-6, 6, (4, 3))[rng.integers(0, 4, n)]][k]
+
+
+def test_shortest_tree_against_all_distances():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 33, 64, 65, 700):
+        for k in range(5):
+            x = points_of(k, n, rng)
+            length, a, b = shortest_tree(x)
+            assert length.tolist() == [w for w, _, _ in clustering._spanning_tree(x)], (n, k)
+            top = list(range(n))
+            assert all(clustering.joined(top, p, q) for p, q in zip(a.tolist(), b.tolist())) and clustering.numbered(top).max() == 0
+
+
+def clusters_of(labels, keep=lambda label: True):
+    out = {}
+    for h, label in labels:
+        out.setdefault(label, set()).add(h)
+    return {frozenset(v) for k, v in out.items() if keep(k)}
+
+
+def rows_of(spark, x):
+    rows = [(7 * i + 3, *map(float, p)) for i, p in enumerate(x)]
+    return spark.createDataFrame(rows, "hist_id long, low double, high double, width double")
+
+
+def test_single_linkage_of_many_histograms(spark):
+    """7,200 histograms at 1,200 places against the merges over all distances."""
+    rng = np.random.default_rng(9)
+    places = points_of(0, 1200, rng) * 0.3 + rng.uniform(-9, 9, (5, 3))[rng.integers(0, 5, 1200)]
+    x = places[rng.permutation(np.arange(7200) % 1200)]
+    want = (-math.inf, None)
+    for k in (2, 3, 4, 5, 6):
+        top = list(range(1200))
+        for _, a, b in clustering._spanning_tree(places)[: 1200 - k]:
+            clustering.joined(top, a, b)
+        at = {tuple(p): g for p, g in zip(places, clustering.numbered(top))}
+        label = np.array([at[tuple(p)] for p in x])
+        means = np.stack([x[label == c].mean(axis=0) for c in range(k)])
+        score = (np.bincount(label)[:, None] * (means - x.mean(axis=0)) ** 2).sum() / (k - 1) / (((x - means[label]) ** 2).sum() / (7200 - k))
+        want = max(want, (score, clusters_of((7 * i + 3, g) for i, g in enumerate(label))), key=lambda w: w[0])
+    got = clustering.cluster_labels(rows_of(spark, x), "agglomerative", (2, 6)).collect()
+    assert len(got) == 7200 and clusters_of(got) == want[1]
+
+
+def test_single_linkage_of_few_places(spark):
+    """With more clusters than places histograms at one place part; with more than histograms there is one cluster."""
+    rows = rows_of(spark, np.array([[0.0, 1, 1]] * 3 + [[5.0, 6, 1]] * 2))
+    of = lambda k: clusters_of(clustering.cluster_labels(rows, "agglomerative", (k, k)).collect())
+    assert of(2) == {frozenset({3, 10, 17}), frozenset({24, 31})} and sorted(map(len, of(4))) == [1, 1, 1, 2] and len(of(5)) == 5 and len(of(6)) == 1
+    assert clustering.cluster_labels(rows.limit(0), "agglomerative", (2, 3)).count() == clustering.cluster_labels(rows.limit(0), "hdbscan", (2, 2)).count() == 0
+
+
 def overlapping_results(spark):
     """Two written results with four rows that only one has, and one row twice."""
     rows = spark.range(200_000).select((F.col("id") % 36).alias("query_id"), F.floor(F.col("id") / 36).alias("hist_id"))
