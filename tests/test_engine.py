@@ -391,6 +391,25 @@ def test_single_linkage_of_few_places(spark):
     assert clustering.cluster_labels(rows.limit(0), "agglomerative", (2, 3)).count() == clustering.cluster_labels(rows.limit(0), "hdbscan", (2, 2)).count() == 0
 
 
+def test_density_clusters_of_many_histograms(spark):
+    """About 5,600 histograms, most of them copies: the groups of the definition over single points, and copies count as points."""
+    rng = np.random.default_rng(10)
+    for k in range(30):
+        n, centres = int(rng.integers(8, 40)), rng.uniform(-6, 6, (int(rng.integers(1, 5)), 3))
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 3)) * rng.uniform(0.1, 2, (n, 1))
+        copies = rng.choice([1, 2, 4, 5, 9], n)
+        every = clustering.density_labels(np.repeat(x, copies, axis=0))
+        assert np.repeat(clustering.density_labels(x, weights=copies), copies).tolist() == every.tolist(), k
+    places = points_of(0, 2400, rng) * 0.2 + rng.uniform(-9, 9, (6, 3))[rng.integers(0, 6, 2400)]
+    x = rng.permutation(np.repeat(places, rng.choice([1, 2, 3, 4, 5], 2400, p=[0.2, 0.3, 0.3, 0.18, 0.02]), axis=0))
+    got = clustering.cluster_labels(rows_of(spark, x), "hdbscan", (2, 2)).collect()
+    want = clustering.density_labels(x)
+    assert len(x) > 5000 and (want < 0).any() and want.max() > 5
+    assert sorted(map(tuple, got)) == [(7 * i + 3, g) for i, g in enumerate(want.tolist())]
+    with pytest.raises(ValueError):
+        clustering.density_labels(places, 5, 2, np.ones(900, int))
+
+
 def overlapping_results(spark):
     """Two written results with four rows that only one has, and one row twice."""
     rows = spark.range(200_000).select((F.col("id") % 36).alias("query_id"), F.floor(F.col("id") / 36).alias("hist_id"))
