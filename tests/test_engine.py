@@ -410,6 +410,18 @@ def test_density_clusters_of_many_histograms(spark):
         clustering.density_labels(places, 5, 2, np.ones(900, int))
 
 
+@pytest.mark.parametrize("name", ["e7_exact_linkage", "e7_exact_density"])
+def test_exact_under_clusters_of_many_histograms(spark, tmp_path, name):
+    """The registered queries over 1,300 suppliers, so 5,200 histograms."""
+    from fractile.plans import catalog
+
+    draw = lambda k, low, high: F.round(low + (high - low) * F.rand(k), 2).alias(catalog.MEASURES[k])
+    rows = spark.range(1300 * 6).select((F.col("id") % 1300).alias("l_suppkey"), draw(0, 1, 50), draw(1, 900, 100_000), draw(2, 0, 0.5), draw(3, 0, 0.5))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, truth = (store.checkpointed(catalog.queries()[n](spark, str(tmp_path)), "found") for n in (name, "e1_over"))
+    assert truth.select("hist_id").distinct().count() > 5000 and truth.count() == found.count() and metrics.differing(truth, found).count() == 0
+
+
 def overlapping_results(spark):
     """Two written results with four rows that only one has, and one row twice."""
     rows = spark.range(200_000).select((F.col("id") % 36).alias("query_id"), F.floor(F.col("id") / 36).alias("hist_id"))
